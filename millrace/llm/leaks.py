@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import lookup_join
@@ -383,5 +383,11 @@ def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("doc_id", walked.alias("w"), "text").select("doc_id", F.concat(F.col("w.text"), F.substr("text", F.col("w.at") + 1)).alias("text"), F.col("w.cut").alias("cut"))
 
 
-def session_items(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "item_id long, text string, canary string")
+def beside_blocks(documents: DataFrame, found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per shard: leaking documents and leaked items, and the reasons for
+    which the shard was ever blocked (empty if it was not). A block record can
+    name several shards, apart by commas, semicolons, bars or blanks."""
+    per = documents.select("doc_id", "shard_id").join(found, "doc_id").groupBy("shard_id").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item_id").alias("items"))
+    named = blocks.select(F.explode(F.split(F.trim("shard_id"), r"[,;|\s]+")).alias("shard_id"), "reason").where(F.col("shard_id") != "")
+    reasons = named.groupBy("shard_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return per.join(reasons, "shard_id", "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, topn
-from millrace.sources import table
+from millrace.llm import bpe, leaks, sentences, topn
+from millrace.sources import table, tables
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,7 +17,45 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(*tables(spark, folder, "documents", "sources", "eval_items"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p3_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaked passage and canary with its place."""
+    return _leaks(spark, folder)
+
+
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaking documents without what leaked."""
+    return leaks.without_leaks(table(spark, folder, "documents"), _leaks(spark, folder))
+
+
+def p3_blocked(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaks per shard, beside the reasons block_records has for the shard."""
+    return leaks.beside_blocks(table(spark, folder, "documents"), _leaks(spark, folder), table(spark, folder, "block_records"))
+
+
+SENTENCE_LANES = ("general_web", "math_science", "indic")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split(table(spark, folder, "documents").where(F.col("lane").isin(*SENTENCE_LANES)))
+
+
+def p9_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences per source and language, and their length, over all lanes."""
+    documents = table(spark, folder, "documents")
+    found = sentences.split(documents.where(F.col("doc_id").isNotNull()))
+    each = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars"))
+    return documents.select("doc_id", "source", "lang").join(each, "doc_id").groupBy("source", "lang").agg(F.sum("n").alias("sentences"), F.sum("chars").alias("chars"), F.max("n").alias("most_in_a_document"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_spans": p3_spans, "p3_clean": p3_clean, "p3_blocked": p3_blocked, "p4_found": p4_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_lengths": p9_lengths}
 ORACLES = {
     "p4_found": """
 with last as (select * from (select *, row_number() over (partition by decision_id order by seq desc) k from opus_decisions where decision_id is not null) where k = 1),
