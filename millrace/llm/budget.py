@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe
 
-#: Documents per language that are tokenized to fit, and to correct the bias.
-FIT, HOLDOUT = 300, 150
+#: Documents per language that are tokenized, at most.
+SAMPLE = 600
 #: With fewer documents a language takes the model, or the bias, of all.
 ENOUGH = 40
 
@@ -30,8 +30,10 @@ SCRIPTS = {
     "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "hebrew": (0x590, 0x5FF), "arabic": (0x600, 0x77F), "devanagari": (0x900, 0x97F), "bengali": (0x980, 0x9FF), "south": (0xA00, 0xDFF),
     "thai": (0xE00, 0xE7F), "kana": (0x3040, 0x30FF), "han": (0x3400, 0x9FFF), "hangul": (0xAC00, 0xD7AF),
 }
-KINDS = ["other", "blank", "break", "digit", "punctuation", "small", "large", "latin", "mark", *SCRIPTS, "beyond"]
-FEATURES = ["bytes", "words", *KINDS]
+KINDS = ["other", "blank", "break", "digit", "punctuation", "small", "large", "latin", "mark", "sign", *SCRIPTS, "beyond"]
+#: Kinds whose characters don't go on a word of letters, and each its own run.
+APART = ["blank", "break", "digit", "punctuation", "mark", "sign"]
+FEATURES = ["bytes", "words", "runs", *KINDS]
 
 
 @cache
@@ -49,8 +51,8 @@ def _kinds() -> np.ndarray:
             kind = "digit"
         elif category[0] in "PS":
             kind = "punctuation"
-        elif category[0] == "M" and not 0x900 <= code < 0xE80:
-            kind = "mark"
+        elif category[0] == "M":
+            kind = "sign" if 0x900 <= code < 0xE80 else "mark"
         else:
             kind = next((s for s, (a, b) in SCRIPTS.items() if a <= code <= b), None)
             if kind is None and category[0] == "L" and code < 0x250:
@@ -59,6 +61,11 @@ def _kinds() -> np.ndarray:
     return table
 
 
+@cache
+def _groups() -> np.ndarray:
+    return np.array([APART.index(k) + 1 if k in APART else 0 for k in KINDS], np.uint8)
+
+
 def features(text: str | None) -> np.ndarray:
     """Counts of FEATURES in a text; zeros for a null or empty one."""
     out = np.zeros(len(FEATURES))
@@ -67,9 +74,11 @@ def features(text: str | None) -> np.ndarray:
     raw = text.encode("utf-32-le", "surrogatepass")
     codes = np.frombuffer(raw, np.uint32)
     kinds = _kinds()[np.minimum(codes, 0xFFFF)]
-    out[2:] = np.bincount(kinds, minlength=len(KINDS))
+    out[3:] = np.bincount(kinds, minlength=len(KINDS))
     beyond = int((codes > 0xFFFF).sum())
     out[-1] = beyond
+    group = _groups()[kinds]
+    out[2] = 1 + int((group[1:] != group[:-1]).sum())
     blank = (kinds == 1) | (kinds == 2)
     out[1] = int((blank[:-1] & ~blank[1:]).sum()) + (not blank[0])
     out[0] = len(codes) + int((codes > 0x7F).sum()) + int((codes > 0x7FF).sum()) + beyond
@@ -104,12 +113,12 @@ class Model:
         self.weights: dict[str, np.ndarray] = {}
         self.factor: dict[str, float] = {}
 
-    def fit(self, rows: list[tuple[str, int, np.ndarray, int]], fit: int) -> Model:
-        """rows: language, rank in the sample, features, tokens. Those ranked
-        up to ``fit`` are fitted, those beyond correct the bias."""
+    def fit(self, rows: list[tuple[str, int, np.ndarray, int]]) -> Model:
+        """rows: language, rank in the sample, features, tokens. Every third of
+        a language is held out to correct the bias, the others are fitted."""
         groups = {"*": rows} | {lang: [r for r in rows if r[0] == lang] for lang in {r[0] for r in rows}}
         for lang, own in groups.items():
-            inside, outside = [r for r in own if r[1] <= fit], [r for r in own if r[1] > fit]
+            inside, outside = [r for r in own if r[1] % 3], [r for r in own if not r[1] % 3]
             if len(inside) >= ENOUGH or lang == "*" and inside:
                 x = np.array([r[2] for r in inside], float)
                 y = np.array([r[3] for r in inside], float)
@@ -128,13 +137,13 @@ class Model:
         return max(0.0, float(x @ weights)) if weights is not None else x[0] / 4
 
     def tokens(self, lang: str, x: np.ndarray) -> int:
-        factor = self.factor.get(lang if lang in self.weights else "*", self.factor.get("*", 1.0))
+        factor = self.factor.get(lang if lang in self.weights else "*", 1.0)
         return int(round(self.raw(lang, x) * factor)) if x[0] else 0
 
 
-def fit(documents: DataFrame, key: str = "doc_id", fit_rows: int = FIT, holdout: int = HOLDOUT, vocabulary: str = "byte_bpe_50k", folder: str = bpe.VOCABULARIES) -> Model:
-    """Fit on at most fit_rows + holdout tokenized documents per language."""
-    chosen = _sample(documents, key, fit_rows + holdout)
+def fit(documents: DataFrame, key: str = "doc_id", sample: int = SAMPLE, vocabulary: str = "byte_bpe_50k", folder: str = bpe.VOCABULARIES) -> Model:
+    """Fit and correct on at most ``sample`` tokenized documents per language."""
+    chosen = _sample(documents, key, sample)
     ranks = documents.sparkSession.sparkContext.broadcast(bpe.read_ranks(vocabulary, folder))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +154,7 @@ def fit(documents: DataFrame, key: str = "doc_id", fit_rows: int = FIT, holdout:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array([len(encode(t)) // 4 for t in texts], pa.int32())], names=["language", "rank", "x", "tokens"])
 
     rows = chosen.select("language", F.col("_rank").alias("rank"), "text").mapInArrow(work, "language string, rank int, x array<double>, tokens int").collect()
-    return Model().fit([(r["language"], r["rank"], np.array(r["x"]), r["tokens"]) for r in sorted(rows, key=lambda r: (r["language"], r["rank"]))], fit_rows)
+    return Model().fit([(r["language"], r["rank"], np.array(r["x"]), r["tokens"]) for r in sorted(rows, key=lambda r: (r["language"], r["rank"]))])
 
 
 def estimate(documents: DataFrame, keep: list[str], model: Model) -> DataFrame:

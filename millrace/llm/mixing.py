@@ -11,6 +11,8 @@ from millrace.operators.joins import lookup_join
 TEMPER = 0.7
 #: Documents of a leaf in one bucket of its epoch order.
 BUCKET_ROWS = 50_000
+#: Share of its cap from which a leaf is never rounded up.
+NEAR_CAP = 0.9
 
 
 def plain(column: Column) -> Column:
@@ -113,7 +115,7 @@ def mix(counted: DataFrame, mixture: DataFrame, seed: int = 1, budget: float | N
     leaves = lookup_join_many(supply, shares)
     total = F.lit(budget) if budget is not None else F.sum("supply").over(Window.partitionBy("stage"))
     leaves = leaves.withColumn("budget", total.cast("double")).withColumn("weight", F.col("target_share")).withColumn("cap", F.col("supply") * F.col("repeat_cap"))
-    given = budget_tree(leaves, ["stage"], path).select("stage", *path, "supply", "_rows", "granted")
+    given = budget_tree(leaves, ["stage"], path).select("stage", *path, "supply", "_rows", "granted", (F.col("granted") > NEAR_CAP * F.col("cap")).alias("_strict"))
     whole = F.floor(F.col("granted") / F.col("supply")).cast("int")
     given = given.withColumn("whole", whole).withColumn("rest", F.col("granted") - F.col("whole") * F.col("supply")).withColumn("_buckets", F.ceil(F.col("_rows") / BUCKET_ROWS).cast("long"))
     served = _join_leaves(docs, given, path)
@@ -127,7 +129,9 @@ def mix(counted: DataFrame, mixture: DataFrame, seed: int = 1, budget: float | N
     placed = _join_leaves(served, sums, ["stage", *path, "_bucket"])
     inside = placed.where((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_sum") > F.col("rest")))
     run = Window.partitionBy("stage", *path, "_bucket").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_more", (F.col("_before") + F.sum("tokens").over(run) <= F.col("rest")).cast("int"))
+    # the document in which the rest ends is in if most of it is; near a cap, if all of it is
+    through = F.col("_before") + F.sum("tokens").over(run) - F.when(F.col("_strict"), 0).otherwise(F.col("tokens") / 2)
+    inside = inside.withColumn("_more", (through <= F.col("rest")).cast("int"))
     outside = placed.where(~((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_sum") > F.col("rest")))).withColumn("_more", (F.col("_before") + F.col("_sum") <= F.col("rest")).cast("int"))
     both = inside.unionByName(outside)
     return both.select("stage", "doc_id", "lane", (F.col("whole") + F.col("_more")).alias("passes"), "tokens").where(F.col("passes") > 0)
