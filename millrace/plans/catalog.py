@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.plans import learned, ledgers, upkeep
+from millrace.plans import corpus, learned, ledgers, upkeep
 
-MODULES = (upkeep, ledgers, learned)
+MODULES = (upkeep, corpus, ledgers, learned)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
