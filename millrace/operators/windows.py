@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, width: int = 4096) -> DataFrame:
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, width: float = 4096, stretch: Column | None = None) -> DataFrame:
     """``out``: the sum of ``value`` over the group's rows up to and with each.
 
     Rows are ordered by ``order``, whose first column is a number and should
     make, with the others, a total order. The group is cut into stretches of
     that number; sums of whole stretches are carried over, so that a task
-    orders one stretch only. Null values count as 0.
+    orders one stretch only. Another ``stretch`` can be given; it must follow
+    the order. Null values count as 0.
     """
     amount = F.coalesce(F.col(value), F.lit(0))
-    cut = rows.withColumn("_stretch", F.floor(F.col(order[0]) / width))
+    cut = rows.withColumn("_stretch", F.floor(F.col(order[0]) / width) if stretch is None else stretch)
     sums = cut.groupBy(*keys, "_stretch").agg(F.sum(amount).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*keys, "_stretch", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
