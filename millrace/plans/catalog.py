@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.plans import corpus, learned, ledgers, mixes, packs, upkeep
+from millrace.plans import corpus, learned, ledgers, misc, mixes, packs, upkeep
 
-MODULES = (upkeep, corpus, packs, mixes, ledgers, learned)
+MODULES = (upkeep, corpus, packs, mixes, ledgers, learned, misc)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
