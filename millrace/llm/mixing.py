@@ -40,7 +40,7 @@ def share_out(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("_w").over(group)
     # the level up to which children are filled if all with lower ratios are full
-    finite = F.when(F.col("_c") == float("inf"), 0.0).otherwise(F.col("_c"))
+    finite = F.when((F.col("_c") == float("inf")) | (F.col("_w") <= 0), 0.0).otherwise(F.col("_c"))
     rows = rows.withColumn("_total", total).withColumn("_level", (F.col("budget") - F.coalesce(F.sum(finite).over(earlier), F.lit(0.0))) / F.nullif(F.col("_total") - F.coalesce(F.sum("_w").over(earlier), F.lit(0.0)), F.lit(0.0)))
     rows = rows.withColumn("_open", F.col("_ratio") > F.col("_level"))
     final = F.min(F.when(F.col("_open") & (F.col("_w") > 0), F.struct("_ratio", F.col(child), "_level"))).over(group)
