@@ -83,10 +83,10 @@ def lr_schedule(spark, folder, warmup: int = 4):
     """The learning rate's factor at each step: a linear rise, then a cosine
     down to a tenth."""
     steps = ledger.microbatches(table(spark, folder, "consumption_ledger")).select("step").distinct()
-    last = steps.agg((F.max("step") + 1).alias("total"))
-    done = F.least(F.lit(1.0), (F.col("step") - warmup) / F.greatest(F.lit(1), F.col("total") - warmup))
+    total = (steps.agg(F.max("step").alias("n")).first()["n"] or 0) + 1
+    done = F.least(F.lit(1.0), (F.col("step") - warmup) / max(1, total - warmup))
     rate = F.when(F.col("step") < warmup, (F.col("step") + 1) / warmup).otherwise(0.1 + 0.45 * (1 + F.cos(F.lit(3.141592653589793) * done)))
-    return steps.join(F.broadcast(last)).select("step", F.round(rate, 9).alias("factor"))
+    return steps.select("step", F.round(rate, 9).alias("factor"))
 
 
 def supply_check(spark, folder):
@@ -164,9 +164,9 @@ def proxy_score(spark, folder):
     """How well each vector lies in the direction of the mean of all."""
     e = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     mean = e.groupBy("i").agg(F.avg("x").alias("m"))
-    size = mean.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
+    norm = mean.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm")).first()["norm"]
     dots = e.join(F.broadcast(mean), "i").groupBy("vec_id").agg(F.sum(F.col("x") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    return dots.join(F.broadcast(size)).select("vec_id", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("len") * F.col("norm")), F.lit(0.0)), 6).alias("score"))
+    return dots.select("vec_id", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("len") * F.lit(norm)), F.lit(0.0)), 6).alias("score"))
 
 
 def unigram_loss(spark, folder):
@@ -175,9 +175,9 @@ def unigram_loss(spark, folder):
 
     words = table(spark, folder, "documents").select("lane", F.explode(text.words()).alias("word")).groupBy("lane", "word").agg(F.count(F.lit(1)).alias("n"))
     known = words.groupBy("word").agg(F.sum("n").alias("all"))
-    total = known.agg(F.sum("all").alias("total"))
-    loss = -F.log(F.col("all") / F.col("total"))
-    return words.join(known, "word").join(F.broadcast(total)).groupBy("lane").agg(F.sum("n").alias("words"), F.round(F.sum(F.col("n") * loss) / F.sum("n"), 6).alias("loss"))
+    total = words.agg(F.sum("n").alias("total")).first()["total"]
+    loss = -F.log(F.col("all") / F.lit(total))
+    return words.join(known, "word").groupBy("lane").agg(F.sum("n").alias("words"), F.round(F.sum(F.col("n") * loss) / F.sum("n"), 6).alias("loss"))
 
 
 _NORM = "replace(replace(lower(lane), '-', '_'), ' ', '_')"
