@@ -28,7 +28,7 @@ APART = 40
 #: Bytes of item texts in one broadcast block.
 BLOCK_BYTES = 8 << 20
 
-UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _unspaced = re.compile(f"[{UNSPACED}]")
 _code = re.compile(r"""\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[nrtbfv"'/\\]|%[0-9A-F]{2}|&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|</?[A-Za-z][^<>]{0,200}>""")
 _coded = re.compile(r"[\\&<%]")
