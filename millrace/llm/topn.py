@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import lookup_join
+from millrace.session import use_checkpoints
 
 #: Rows from which a group is heavy.
 HEAVY_ROWS = 100_000
 #: Rows that one range of the heavy groups should hold.
 RANGE_ROWS = 100_000
+#: Heavy groups that are listed to the driver; more stay a table.
+LISTED = 10_000
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -37,7 +40,8 @@ def top_n(rows: DataFrame, groups: list[str], score: str, tie: str, n: int, heav
     ranked = ranked.withColumn("_s", F.col(score) + F.lit(0.0))
     order = [F.desc("_s"), F.asc(tie)]
     sizes = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= heavy_rows)
-    heavy = sizes.collect() if sizes.limit(HEAVY_ROWS).count() < HEAVY_ROWS else None
+    heavy = sizes.limit(LISTED + 1).collect()
+    heavy = heavy if len(heavy) <= LISTED else None
     if heavy == []:
         return _window(ranked, groups, order, n).drop("_s")
     spark = rows.sparkSession
@@ -60,5 +64,8 @@ def _window(rows: DataFrame, groups: list[str], order: list, n: int) -> DataFram
 def best_decisions(decisions: DataFrame, n: int = 3) -> DataFrame:
     """The n best scored decisions of every branch, step and lane, each
     decision as its latest row has it."""
+    use_checkpoints(decisions.sparkSession)
     rows = decisions.select("decision_id", "seq", "branch_id", "step", "lane", "opus_score")
-    return top_n(latest(rows, "decision_id", "seq"), ["branch_id", "step", "lane"], "opus_score", "decision_id", n)
+    # read for the counts and again for the ranking
+    last = latest(rows, "decision_id", "seq").where(F.col("opus_score").isNotNull() & F.col("lane").isNotNull()).drop("seq").checkpoint()
+    return top_n(last, ["branch_id", "step", "lane"], "opus_score", "decision_id", n)
