@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import lookup_join
+from millrace.operators.joins import SALTS, is_small, lookup_join
+from millrace.session import use_checkpoints
 
 #: Exponent by which supplies become weights below the lanes.
 TEMPER = 0.7
@@ -115,9 +116,12 @@ def mix(counted: DataFrame, mixture: DataFrame, seed: int = 1, budget: float | N
     leaves = lookup_join_many(supply, shares)
     total = F.lit(budget) if budget is not None else F.sum("supply").over(Window.partitionBy("stage"))
     leaves = leaves.withColumn("budget", total.cast("double")).withColumn("weight", F.col("target_share")).withColumn("cap", F.col("supply") * F.col("repeat_cap"))
+    use_checkpoints(counted.sparkSession)
     given = budget_tree(leaves, ["stage"], path).select("stage", *path, "supply", "_rows", "granted", (F.col("granted") > NEAR_CAP * F.col("cap")).alias("_strict"))
     whole = F.floor(F.col("granted") / F.col("supply")).cast("int")
     given = given.withColumn("whole", whole).withColumn("rest", F.col("granted") - F.col("whole") * F.col("supply")).withColumn("_buckets", F.ceil(F.col("_rows") / BUCKET_ROWS).cast("long"))
+    # a row per leaf, and below per bucket: each is measured before it is joined
+    given = given.checkpoint()
     served = _join_leaves(docs, given, path)
     order = F.xxhash64(F.lit(seed), "stage", "whole", "doc_id")
     # floor(order's place among all hashes x buckets): buckets follow the order
@@ -125,7 +129,7 @@ def mix(counted: DataFrame, mixture: DataFrame, seed: int = 1, budget: float | N
     served = served.withColumn("_order", F.shiftrightunsigned(order, 1)).withColumn("_bucket", F.least(F.floor(place * F.col("_buckets")), F.col("_buckets") - 1))
     sums = served.groupBy("stage", *path, "_bucket").agg(F.sum("tokens").alias("_sum"))
     before = Window.partitionBy("stage", *path).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).checkpoint()
     placed = _join_leaves(served, sums, ["stage", *path, "_bucket"])
     inside = placed.where((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_sum") > F.col("rest")))
     run = Window.partitionBy("stage", *path, "_bucket").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -145,8 +149,6 @@ def lookup_join_many(supply: DataFrame, shares: DataFrame) -> DataFrame:
 def _join_leaves(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     """Join documents to a per-leaf table, which is broadcast if its measured
     size allows; otherwise each leaf is spread over salted partitions."""
-    from millrace.operators.joins import SALTS, is_small
-
     if is_small(small):
         return rows.join(F.broadcast(small), on)
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
