@@ -85,9 +85,8 @@ def mask_validation(spark, folder):
 
 
 def position_ids(spark, folder):
-    """Positions per script of the recorded segments: how many, and their sum."""
-    s = table(spark, folder, "segments").where(F.col("window_start") == 0)
-    p = packing.position_ids(s)
+    """Positions per number of the recorded segments: how many, and their sum."""
+    p = packing.position_ids(table(spark, folder, "segments"))
     return p.groupBy("segment").agg(F.count(F.lit(1)).alias("positions"), F.sum("position").alias("sum"), F.max("position").alias("last"))
 
 

@@ -92,3 +92,12 @@ def test_empty_documents(spark):
     sizes = {r["doc_id"]: r["size"] for r in packing.items(docs).collect()}
     assert sizes == {2: 2, 3: 2}
     assert packing.compare(packing.items(docs).where("doc_id < 0"), CAP).count() == 6
+
+
+def test_positions_of_segments_that_do_not_begin_a_window(spark, tmp_path):
+    from millrace.plans import packs
+
+    rows = [("s", 0, 0, 0, 3), ("s", 1, 3, 7, 9), ("s", 1, 3, 7, 9), ("t", 0, 0, 0, 2), ("t", 1, 2, 0, 4), ("u", 1, None, 5, 6), ("u", 2, 1, 5, 5)]
+    spark.createDataFrame(rows, "sample_id string, seg_no int, window_start int, token_start int, token_end int").write.parquet(str(tmp_path / "segments.parquet"))
+    got = {tuple(r[c] for c in ("segment", "positions", "sum", "last")) for r in packs.position_ids(spark, str(tmp_path)).collect()}
+    assert got == {(0, 5, 4, 2), (1, 7, 7, 3)}
