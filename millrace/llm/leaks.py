@@ -5,9 +5,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,6 +88,10 @@ class Item:
         self.starts = [0]
         for w in words:
             self.starts.append(self.starts[-1] + len(w))
+        self.replaced = 0.15 if self.unspaced else REPLACED
+        # the fewest letters that the kept words of a passage can have
+        kept = max(0, int(HELD * self.words * (1 - self.replaced) - 0.5))
+        self.least = sum(sorted(map(len, words))[:kept])
         self.width = NARROW if self.unspaced else WIDE
         self.step = NARROW_STEP if self.unspaced else WIDE_STEP
         self.need = 1
@@ -160,13 +164,16 @@ class Index:
         return {k: v for k, v in hits.items() if len(v) >= self.items[k].need}
 
 
-def passage(item: Item, text: str, hits: list[int]) -> tuple[int, int, int] | None:
+def passage(item: Item, text: str, hits: list[int], begins: Callable[[int], bool]) -> tuple[int, int, int] | None:
     """The longest stretch of the item that the text holds around the hits, if
     it has half of the item's words: (words, start, end) in the text's letters.
 
     Equal pieces of item and text are chained in the order of both, with a few
-    letters at most between two of them; in the chain the longest run of item
-    words is taken of which no more than one in ten isn't there unchanged.
+    letters at most between two of them. Words too short for a piece that stand
+    unchanged between two pieces, or in their place beyond the outer ones, join
+    the chain; in it the longest run of item words is taken of which no more
+    than one in ten isn't there unchanged. ``begins`` tells whether a word
+    begins at a letter of the text.
     """
     size, where = item.pieces()
     best = None
@@ -182,7 +189,10 @@ def passage(item: Item, text: str, hits: list[int]) -> tuple[int, int, int] | No
                     n += 1
                 reached[a - b] = a + n
                 blocks.append((a, b, n))
-        found = _best_run(item, _chain(blocks))
+        chains = _chain(blocks)
+        found = _best_run(item, chains)
+        if found is None or found[0] < item.words:
+            found = _best_run(item, [_filled(item, text, c, begins) for c in chains])
         if found and (best is None or found[0] > best[0]):
             best = found
     return best
@@ -235,17 +245,77 @@ def _chain(blocks: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return chains
 
 
+def _filled(item: Item, text: str, chain: list[tuple[int, int, int]], begins: Callable[[int], bool]) -> list[tuple[int, int, int]]:
+    """A chain with the unchanged words of the item in its gaps and at its ends."""
+    spaced = not item.unspaced
+    if not spaced:
+        begins = lambda k: True
+    starts, out = item.starts, list(chain)
+    for (a, b, n), (c, d, _) in zip(chain, chain[1:]):
+        # ends[k]: the least end of k words found in order, and these words
+        ends: list[tuple[int, list[tuple[int, int, int]]]] = [(a + n, [])]
+        for i in range(bisect_left(starts, b + n), bisect_right(starts, d) - 1):
+            s, w = starts[i], item.text[starts[i] : starts[i + 1]]
+            for k in range(len(ends) - 1, -1, -1):
+                p = text.find(w, ends[k][0], c)
+                while p >= 0 and p - s not in (a - b, c - d) and not (spaced and begins(p) and begins(p + len(w))):
+                    p = text.find(w, p + 1, c)
+                if p >= 0 and (k + 1 == len(ends) or p + len(w) < ends[k + 1][0]):
+                    ends[k + 1 : k + 2] = [(p + len(w), [*ends[k][1], (p, s, len(w))])]
+        out.extend(ends[-1][1])
+    # beyond the ends word stands against word; no run can have more gone
+    most = item.replaced * item.words + 1
+    a, b, _ = chain[0]
+    i, gone = bisect_left(starts, b) - 1, 0
+    # a word of the text that is there in part stands against the item's word
+    inside = None if begins(a) else _beside(a, -1, len(text), begins)
+    if starts[i + 1] > b:
+        i, gone, a = i - 1, 1, a if begins(a) else a - b + starts[i]
+    a = a if inside is None else inside
+    while i >= 0 and a > 0 and gone <= most:
+        n = starts[i + 1] - starts[i]
+        if a >= n and text.startswith(item.text[starts[i] : starts[i + 1]], a - n) and begins(a - n):
+            a -= n
+            out.append((a, starts[i], n))
+        else:
+            gone += 1
+            a = _beside(a, -1, len(text), begins) or a - n
+        i -= 1
+    a, b, n = chain[-1]
+    a, b = a + n, b + n
+    i, gone = bisect_left(starts, b), 0
+    inside = None if begins(a) else _beside(a, 1, len(text), begins)
+    if starts[i] > b:
+        gone, a = 1, a if begins(a) else a + starts[i] - b
+    a = a if inside is None else inside
+    while i < item.words and a < len(text) and gone <= most:
+        n = starts[i + 1] - starts[i]
+        if text.startswith(item.text[starts[i] : starts[i + 1]], a) and begins(a + n):
+            out.append((a, starts[i], n))
+            a += n
+        else:
+            gone += 1
+            a = _beside(a, 1, len(text), begins) or a + n
+        i += 1
+    return sorted(out)
+
+
+def _beside(at: int, step: int, n: int, begins: Callable[[int], bool]) -> int | None:
+    """The nearest place before or after ``at`` where a word begins."""
+    return next((k for k in range(at + step, at + step * (APART + 1), step) if 0 < k < n and begins(k)), None)
+
+
 def _best_run(item: Item, chains: list) -> tuple[int, int, int] | None:
     best, half = None, HELD * item.words
     for chain in chains:
-        if sum(n for _, _, n in chain) < 0.35 * len(item.text):
+        if sum(n for _, _, n in chain) < item.least:
             continue
         there = [False] * len(item.text)
         for _, b, n in chain:
             there[b : b + n] = [True] * n
         kept = [all(there[s:e]) for s, e in zip(item.starts, item.starts[1:])]
         # a run with r of its words gone may be so long: r <= a tenth of it, rounded
-        share = 0.15 if item.unspaced else REPLACED
+        share = item.replaced
         gone = [0]
         for k in kept:
             gone.append(gone[-1] + (not k))
@@ -321,8 +391,17 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 def _scan(ix: Index, text: str) -> Iterator[tuple]:
     flat = letters(text)
     near, exact = ix.candidates(flat), None
+
+    def begins(k: int) -> bool:
+        nonlocal exact
+        if k <= 0 or k >= len(flat):
+            return True
+        exact = exact or letters_at(text)[1]
+        between = text[exact[k - 1] : exact[k]]
+        return any(map(str.isspace, _code.sub(_decode, between) if _coded.search(between) else between))
+
     for item in near:
-        if hit := passage(ix.items[item], flat, near[item]):
+        if hit := passage(ix.items[item], flat, near[item], begins):
             exact = exact or letters_at(text)[1]
             yield item, "passage", hit[0], ix.items[item].words, exact[hit[1]], exact[hit[2] - 1] + 1
     if any(stem in flat for stem in ix.stems):

@@ -90,3 +90,27 @@ def test_item_blocks_give_the_same(spark, monkeypatch):
     one = sorted((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, items).collect())
     monkeypatch.setattr(leaks, "BLOCK_BYTES", 1500)
     assert sorted((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, items).collect()) == one == [(i, i) for i in range(12)]
+
+
+HI = (70, "नदी के पास एक पुराना गाँव है जहाँ हर साल मेले में दूर के लोग आते हैं और वे अपने साथ गुड़ तथा कपड़ा लाते हैं जिसे राजा का मुंशी कागज पर लिखता है", None)
+BN = (71, "নদীর ধারে এক পুরনো গ্রাম আছে যেখানে প্রতি বছর মেলায় দূরের লোক আসে আর তারা সাথে করে গুড় ও কাপড় আনে যা রাজার মুনশি কাগজে লিখে রাখে", None)
+EN = (72, "By the old mill on the hill a man of the town set up his own stall and sold us jam to eat with the bread that we had got from an inn by the quay at dawn", None)
+
+
+@pytest.mark.parametrize("item", [HI, BN, EN], ids=["hi", "bn", "en"])
+def test_short_words_beside_replaced_ones(item):
+    index, all_words = leaks.Index([*ALL, item]), item[1].split()
+    n, missed = -(-len(all_words) * 55 // 100), []
+    for first in range(len(all_words) - n + 1):
+        for gone in ([1], [n - 2], [1, 3], [n - 4, n - 2], [2, n - 3]):
+            if len(gone) > round(n / 10):
+                continue
+            w = all_words[first : first + n]
+            for k in gone:
+                w[k] = {70: "घोड़ा", 71: "ঘোড়া", 72: "zebra"}[item[0]]
+            if item[0] not in {x[0] for x in leaks._scan(index, FILL + " " + " ".join(w) + " " + FILL)}:
+                missed.append((first, gone))
+    assert missed == []
+    # one word in three gone is no case
+    w = ["quiet" if k % 3 == 1 else x for k, x in enumerate(all_words)]
+    assert not [x for x in leaks._scan(index, FILL + " " + " ".join(w) + " " + FILL) if x[0] == item[0]]
