@@ -107,6 +107,14 @@ class PendingOrphans:
         self.log.commit(version, {"refs": [*state.get("refs", []), refs_at], "parents": everything, "open": open_at, "counts": counts_at})
         return found
 
+    def open(self) -> DataFrame:
+        """The open orphans after the latest batch."""
+        return self._read([self.log.latest()[1]["open"]], f"{REFS}, ref_state string")
+
+    def snapshot(self) -> DataFrame:
+        """Their counts, as committed with that batch."""
+        return self._read([self.log.latest()[1]["counts"]], "ref_field string, day date, ref_state string, orphans long")
+
 
 def ledger_refs(learning: DataFrame) -> DataFrame:
     """References of the learning records, one row per record and field,

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import incremental, references
+from millrace.session import checkpoint_dir
 from millrace.sources import tables
 
+#: Stretches of time in which references and parents are handed to the state.
+BATCHES = 4
+
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     landings, runs = tables(spark, folder, "consumption_ledger", "ingest_runs")
@@ -20,18 +26,46 @@ def p1_backlog(spark: SparkSession, folder: str) -> DataFrame:
     return p1_found(spark, folder).groupBy("branch_id").agg(F.count(F.lit(1)).alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _orphans(spark: SparkSession, folder: str) -> references.PendingOrphans:
+    """The state after all references, parents and deletions came in batches,
+    each at its time: a reference when it was recorded, a key when it first
+    existed, its deletion as a later row."""
     learning, decisions, checkpoints = tables(spark, folder, "learning_ledger", "opus_decisions", "checkpoints")
-    return references.advance(None, None, None, references.ledger_refs(learning), references.ledger_parents(decisions, checkpoints))
+    lo, hi = learning.agg(F.unix_micros(F.min("recorded_at")), F.unix_micros(F.max("recorded_at"))).first()
+    step = 1 if lo is None else (hi - lo) // BATCHES + 1
+
+    def batch(time: str):
+        at = F.floor((F.unix_micros(time) - (lo or 0)) / step)
+        return F.coalesce(F.least(F.greatest(at, F.lit(0)), F.lit(BATCHES - 1)), F.lit(0)).cast("int")
+
+    refs = references.clean_refs(references.ledger_refs(learning)).withColumn("batch", batch("at"))
+    index = references.parent_index(references.ledger_parents(decisions, checkpoints))
+    came = F.struct(batch("first_at").alias("batch"), F.lit(None).cast("timestamp").alias("gone_at"))
+    went = F.struct(F.greatest(batch("first_at"), batch("gone_at")).alias("batch"), "gone_at")
+    rows = F.explode(F.when(F.col("gone_at").isNull(), F.array(came)).otherwise(F.array(came, went)))
+    parents = index.select("ref_field", "ref_key", "first_at", rows.alias("r")).select("ref_field", "ref_key", "first_at", "r.gone_at", "r.batch")
+
+    state = references.PendingOrphans(spark, f"{checkpoint_dir(spark)}/orphans-{uuid.uuid4().hex}")
+    dealt = [_dealt(spark, state, rows, schema) for rows, schema in ((refs, references.REFS), (parents, references.PARENTS))]
+    for k in range(BATCHES):
+        state.batch(*(rows.where(F.col("batch") == k).drop("batch") for rows in dealt))
+    return state
+
+
+def _dealt(spark: SparkSession, state: references.PendingOrphans, rows: DataFrame, schema: str) -> DataFrame:
+    """rows as a file for each batch."""
+    path = state.log.fresh("dealt")
+    rows.repartition("batch", F.pmod(F.xxhash64("ref_key"), F.lit(8))).write.partitionBy("batch").parquet(path)
+    return spark.read.schema(f"{schema}, batch int").parquet(path)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select(F.col("owner").alias("branch_id"), "seq", "ref_field", "ref_state")
+    return _orphans(spark, folder).open().select(F.col("owner").alias("branch_id"), "seq", "ref_field", "ref_state")
 
 
 def p6_by_day(spark: SparkSession, folder: str) -> DataFrame:
     named = F.when(F.col("ref_field") == "opus_decision_id", "opus_decisions").otherwise("checkpoints")
-    return references.counts(_orphans(spark, folder)).select(named.alias("ref_table"), "day", "ref_state", "orphans")
+    return _orphans(spark, folder).snapshot().select(named.alias("ref_table"), "day", "ref_state", "orphans")
 
 
 _P1 = """

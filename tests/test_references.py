@@ -79,3 +79,32 @@ def test_empty(spark):
 def test_counts_per_day(spark):
     found = R.advance(None, None, None, *frames(spark, [("f", "x", "o", 1, at(1)), ("f", "x", "o", 2, at(30))], []))
     assert sorted((str(r["day"]), r["orphans"]) for r in R.counts(found).collect()) == [("2031-01-01", 1), ("2031-01-02", 1)]
+
+
+def test_queries_read_the_state_of_batches(spark, tmp_path, monkeypatch):
+    from millrace.plans import upkeep
+
+    stamp = lambda h: None if h is None else f"2031-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    recs = [("b", i, 3 * i if i % 7 else None, 90 + i, f"d{i % 9}", f"c{i % 4}" if i % 3 else "") for i in range(30)] + [("b", 4, 12, 10, "d1", "c9"), (None, 1, 5, 5, "d0", None)]
+    decisions = [(f"d{k}", h) for k, h in ((0, 1), (1, 20), (1, 4), (2, 30), (4, None), (5, 88), (6, 200))] + [(None, 3)]
+    saved = [("c0", 2, 40), ("c1", 1, None), ("c1", 1, 30), ("c2", 50, 60), ("c2", 9, 75), ("c3", None, 8)]
+    text = lambda rows, where: [tuple(stamp(x) if k in where else x for k, x in enumerate(r)) for r in rows]
+    learning = spark.createDataFrame(text(recs, (2, 3)), "branch_id string, seq long, recorded_at string, landed_at string, d string, k string")
+    learning.selectExpr("branch_id", "seq", "cast(recorded_at as timestamp) recorded_at", "cast(landed_at as timestamp) landed_at", "named_struct('opus_decision_id', d, 'checkpoint_before', k) payload").write.parquet(str(tmp_path / "learning_ledger.parquet"))
+    spark.createDataFrame(text(decisions, (1,)), "decision_id string, t string").selectExpr("decision_id", "cast(t as timestamp) recorded_at").write.parquet(str(tmp_path / "opus_decisions.parquet"))
+    spark.createDataFrame(text(saved, (1, 2)), "checkpoint_id string, s string, e string").selectExpr("checkpoint_id", "cast(s as timestamp) saved_at", "cast(e as timestamp) deleted_at").write.parquet(str(tmp_path / "checkpoints.parquet"))
+
+    seen, batch = [], R.PendingOrphans.batch
+
+    def counted(self, refs, parents):
+        seen.append((refs.count(), parents.where("gone_at is null").count(), parents.where("gone_at is not null").count()))
+        return batch(self, refs, parents)
+
+    monkeypatch.setattr(R.PendingOrphans, "batch", counted)
+    got = sorted(map(tuple, upkeep.p6_found(spark, str(tmp_path)).collect()), key=repr)
+    assert len([x for x in seen if x[0]]) >= 3 and len([x for x in seen if x[1]]) >= 3 and sum(x[2] for x in seen) == 3
+    tables = [spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("learning_ledger", "opus_decisions", "checkpoints")]
+    once = R.advance(None, None, None, R.ledger_refs(tables[0]), R.ledger_parents(*tables[1:]))
+    assert got == sorted(map(tuple, once.select("owner", "seq", "ref_field", "ref_state").collect()), key=repr)
+    assert {x[3] for x in got} == {"missing", "late", "deleted"}
+    assert sum(r["orphans"] for r in upkeep.p6_by_day(spark, str(tmp_path)).collect()) == len(got)
