@@ -21,9 +21,20 @@ def apportion(spark, folder):
     return mixture.apportion(m, ["stage"], PER_STEP).select("stage", "lane", "units")
 
 
+def _lane_supply(spark, folder):
+    return table(spark, folder, "documents").groupBy("lane").agg(F.count(F.lit(1)).alias("available"))
+
+
+def enforce_floors(spark, folder):
+    """The apportioned units of every stage, raised to the protected floors."""
+    m = table(spark, folder, "stage_mixture").withColumn("weight", F.col("target_share"))
+    units = mixture.apportion(m, ["stage"], PER_STEP).select("stage", "lane", "units", F.col("protected_floor").alias("floor"), F.col("units").alias("apportioned"))
+    after = mixture.enforce_floors(units.join(_lane_supply(spark, folder), "lane", "left"), ["stage"], PER_STEP, len(mixture.PROTECTED))
+    return after.select("stage", "lane", "apportioned", "required", "added", F.array_join("donors", ",").alias("donors"), "units")
+
+
 def compile_schedule(spark, folder):
-    supply = {r["lane"]: r["n"] for r in table(spark, folder, "documents").groupBy("lane").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return mixture.compile_schedule(spark, table(spark, folder, "stage_mixture"), supply, PER_STEP, STEPS, WARMUP)
+    return mixture.compile_schedule(table(spark, folder, "stage_mixture"), _lane_supply(spark, folder), PER_STEP, STEPS, WARMUP)
 
 
 def _schedule(spark, folder):
@@ -198,6 +209,26 @@ cur as (select branch_id, lane, step, pool, sum(pool) over (partition by branch_
 _LAST = "with last as (select * from opus_decisions where decision_id is not null qualify row_number() over (partition by decision_id order by seq desc) = 1)\n"
 _ACC = _LAST + ", acc as (select * from last where status = 'accepted' and lane is not null and branch_id is not null and step is not null)\n"
 
+
+
+def _floors_sql(keys: str) -> str:
+    """CTEs that raise the units of ``f0`` (keys, lane, units, floor,
+    available) to their floors; the last is ``f3``."""
+    g, out = f"partition by {keys}", ""
+    for k in (1, 2, 3):
+        out += f""", a{k} as (select *, coalesce(turn = {k}, false) mine from f{k - 1}),
+b{k} as (select *, greatest(0, coalesce(max(case when mine then required - units end) over ({g}), 0)) owed, bool_or(not mine and floor is null and units > 0) over ({g}) any_free from a{k}),
+c{k} as (select *, not mine and case when any_free then floor is null and units > 0 else units - 1 >= least_units end gives from b{k}),
+d{k} as (select *, case when gives then greatest(0, least(units, owed - coalesce(sum(case when gives then units end) over ({g} order by gives desc, units desc, lane rows between unbounded preceding and 1 preceding), 0))) else 0 end part,
+  list_transform(list_sort(list(case when gives then (-units, lane) end) over ({g}))[1:3], x -> x[2]) asked from c{k}),
+e{k} as (select *, case when mine then sum(part) over ({g}) else 0 end got from d{k}),
+f{k} as (select * exclude (mine, owed, any_free, gives, part, asked, got, units, added, donors), added + got added, case when got > 0 then asked else donors end donors, units - part + got units from e{k})
+"""
+    return out
+
+
+_FLOORED = f"""select *, greatest(0, coalesce(ceil(floor * {PER_STEP} - 1e-9), 0)) least_units, least(coalesce(ceil(floor * {PER_STEP} - 1e-9), 0), coalesce(available, 1e18)) required, 0 added, []::varchar[] donors"""
+
 ORACLES = {
     "mixture_blend": f"""with m as (select s.stage, lane, target_share, k from stage_mixture s join {_ORD} on o.stage = s.stage), l as (select unnest(range(0, {STEPS}))::int "local")
 select m.stage, l."local", m.lane, round((1 - least(1, (l."local" + 1) / {WARMUP})) * case when m.k = 0 then m.target_share else coalesce(p.target_share, 0) end + least(1, (l."local" + 1) / {WARMUP}) * m.target_share, 9) share
@@ -205,6 +236,24 @@ from m cross join l left join m p on p.k = m.k - 1 and p.lane = m.lane""",
     "apportion": f"""with e as (select stage, lane, {PER_STEP} * target_share::decimal(18,9) / sum(target_share::decimal(18,9)) over (partition by stage) x from stage_mixture), f as (select *, round(x, 9) y from e),
 g as (select *, {PER_STEP} - sum(floor(y)) over (partition by stage) lft, row_number() over (partition by stage order by y - floor(y) desc, lane) r from f)
 select stage, lane, (floor(y) + (r <= lft)::int)::bigint units from g""",
+    "enforce_floors": f"""with sup as (select lane, count(*) available from documents group by 1),
+e as (select stage, lane, protected_floor floor, {PER_STEP} * target_share::decimal(18,9) / sum(target_share::decimal(18,9)) over (partition by stage) x from stage_mixture), r as (select *, round(x, 9) y from e),
+n as (select *, {PER_STEP} - sum(floor(y)) over (partition by stage) lft, row_number() over (partition by stage order by y - floor(y) desc, lane) r from r),
+u as (select n.stage, n.lane, case when not isnan(n.floor) then n.floor end floor, (floor(y) + (r <= lft)::int)::bigint units, available from n left join sup using (lane)),
+f0 as ({_FLOORED}, units apportioned, case when floor is not null then sum((floor is not null)::int) over (partition by stage order by lane) end turn from u){_floors_sql("stage")}
+select stage, lane, apportioned::bigint apportioned, required::bigint required, added::bigint added, coalesce(array_to_string(donors, ','), '') donors, units::bigint units from f3""",
+    "compile_schedule": f"""with sup as (select lane, count(*) available from documents group by 1),
+m as (select s.stage, lane, target_share, protected_floor, k from stage_mixture s join {_ORD} on o.stage = s.stage), l as (select unnest(range(0, {STEPS}))::int "local"),
+w as (select m.stage, l."local", m.lane, case when not isnan(m.protected_floor) then m.protected_floor end floor, coalesce(available, 0) available,
+  case when available > 0 then (1 - least(1, (l."local" + 1) / {WARMUP})) * case when m.k = 0 then m.target_share else coalesce(p.target_share, 0) end + least(1, (l."local" + 1) / {WARMUP}) * m.target_share else 0 end weight
+  from m cross join l left join m p on p.k = m.k - 1 and p.lane = m.lane left join sup on sup.lane = m.lane),
+e as (select *, {PER_STEP} * weight::decimal(18,9) / nullif(sum(weight::decimal(18,9)) over (partition by stage, "local"), 0) x from w), r as (select *, coalesce(round(x, 9), 0) y from e),
+n as (select *, {PER_STEP} - sum(floor(y)) over (partition by stage, "local") lft, row_number() over (partition by stage, "local" order by y - floor(y) desc, lane) r from r),
+u as (select stage, "local", lane, floor, available, weight, (floor(y) + (r <= lft)::int)::bigint units from n),
+f0 as ({_FLOORED}, case when floor is not null then sum((floor is not null)::int) over (partition by stage, "local" order by lane) end turn from u){_floors_sql('stage, "local"')},
+s as (select *, case when available > 0 then units else 0 end have from f3), t as (select *, {PER_STEP} - sum(have) over (partition by stage, "local") miss, sum((available > 0)::int) over (partition by stage, "local") stocked,
+  row_number() over (partition by stage, "local" order by available > 0 desc, weight desc, lane) - 1 pos from s)
+select stage, "local", lane, (have + case when available > 0 and miss > 0 then miss // stocked + (pos < miss % stocked)::int else 0 end)::bigint sequences from t""",
     "scarcity": _SCHED + """, f as (select *, coalesce(sequences_required, 0) need, coalesce(distinct_samples_available, 0) have from sch),
 g as (select *, case when have = 0 then 'impossible' when need = 0 or need <= have then 'satisfied' when lane_key in ('indic', 'agentic', 'reasoning') or need / have <= 2.5 then 'repeat' else 'synthesise' end found,
   round(case when need > 0 and have > 0 then greatest(1, need / have) when need > 0 then 0 else 1 end, 6) factor from f)
@@ -246,4 +295,4 @@ select vec_id, round(coalesce(sum(x * m) / nullif(sqrt(sum(x * x)) * max(n), 0),
     "unigram_loss": r"""with w as (select lane, unnest(regexp_extract_all(lower(replace(text, 'İ', 'i')), '[\p{L}\p{N}_]+')) word from documents), c as (select lane, word, count(*) n from w group by all), k as (select word, sum(n) a from c group by 1), t as (select sum(a) total from k)
 select lane, sum(n) words, round(sum(n * -ln(a / total)) / sum(n), 6) loss from c join k using (word), t group by 1""",
 }
-QUERIES = {name: globals()[name] for name in ORACLES} | {"compile_schedule": compile_schedule}
+QUERIES = {name: globals()[name] for name in ORACLES}

@@ -14,12 +14,33 @@ def test_apportion_sums_up_and_breaks_ties_by_name(spark):
     assert (got["h", "a"], got["h", "b"]) == (4, 3) and got["z", "a"] == 0 and got["n", "a"] == got["n", "b"] == 0
 
 
-def test_floors_take_from_the_largest_until_it_is_empty():
+def floored(spark, counts, floors, total, supply=None):
+    rows = [("g", k, n, floors.get(k), (supply or {}).get(k)) for k, n in counts.items()]
+    df = spark.createDataFrame(rows, "k string, lane string, units int, floor double, available long")
+    return {r["lane"]: r for r in mixture.enforce_floors(df, ["k"], total, 3).collect()}
+
+
+def test_floors_take_from_the_largest_until_it_is_empty(spark):
     counts = {"general_web": 4, "code": 1, "math_science": 1, "indic": 1, "reasoning": 1, "agentic": 0}
-    after = mixture.enforce_floors(counts, {"indic": 0.1, "agentic": 0.05, "reasoning": 0.05}, 8)
-    assert after == {**counts, "general_web": 3, "agentic": 1}
-    assert mixture.enforce_floors({"a": 3, "b": 2, "c": 0}, {"c": 0.8}, 5) == {"a": 0, "b": 1, "c": 4}
-    assert mixture.enforce_floors({"a": 5, "c": 0}, {"c": 0.5}, 5, {"c": 0}) == {"a": 5, "c": 0}
+    after = floored(spark, counts, {"indic": 0.1, "agentic": 0.05, "reasoning": 0.05}, 8)
+    assert {k: r["units"] for k, r in after.items()} == {**counts, "general_web": 3, "agentic": 1}
+    assert (after["agentic"]["required"], after["agentic"]["added"], after["agentic"]["donors"]) == (1, 1, ["general_web", "code", "math_science"])
+    assert all(r["added"] == 0 and r["donors"] == [] for k, r in after.items() if k != "agentic")
+    assert {k: r["units"] for k, r in floored(spark, {"a": 3, "b": 2, "c": 0}, {"c": 0.8}, 5).items()} == {"a": 0, "b": 1, "c": 4}
+    assert floored(spark, {"a": 5, "c": 0}, {"c": 0.5}, 5, {"c": 0})["a"]["units"] == 5
+    # all have floors: those give that stay at theirs; equal ones by name
+    assert {k: r["units"] for k, r in floored(spark, {"a": 3, "b": 3, "c": 0}, {"a": 0.2, "b": 0.2, "c": 0.3}, 6).items()} == {"a": 1, "b": 3, "c": 2}
+    # nobody can give; null units and not-a-number floors
+    assert floored(spark, {"a": 1, "b": None}, {"a": 1.0, "b": 1.0}, 1)["b"]["added"] == 0
+    assert floored(spark, {"a": 1, "b": 0}, {"b": float("nan")}, 1)["b"]["required"] == 0
+
+
+def test_empty_lanes_hand_their_units_on(spark):
+    m = spark.createDataFrame([("ground-layer", "a", 0.5, None), ("ground-layer", "b", 0.3, None), ("ground-layer", "c", 0.2, 0.2)], "stage string, lane string, target_share double, protected_floor double")
+    for have, want in (({"a": 9, "b": 9, "c": 9}, (5, 3, 2)), ({"a": 9, "b": 9}, (6, 4, 0)), ({"a": 9}, (10, 0, 0)), ({}, (0, 0, 0))):
+        supply = spark.createDataFrame(list(have.items()), "lane string, available long")
+        got = {r["lane"]: r["sequences"] for r in mixture.compile_schedule(m, supply, 10, 1, 0).collect()}
+        assert tuple(got[x] for x in "abc") == want
 
 
 def test_interleave_takes_lanes_in_turn(spark):
