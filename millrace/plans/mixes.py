@@ -220,7 +220,7 @@ def _floors_sql(keys: str) -> str:
 b{k} as (select *, greatest(0, coalesce(max(case when mine then required - units end) over ({g}), 0)) owed, bool_or(not mine and floor is null and units > 0) over ({g}) any_free from a{k}),
 c{k} as (select *, not mine and case when any_free then floor is null and units > 0 else units - 1 >= least_units end gives from b{k}),
 d{k} as (select *, case when gives then greatest(0, least(units, owed - coalesce(sum(case when gives then units end) over ({g} order by gives desc, units desc, lane rows between unbounded preceding and 1 preceding), 0))) else 0 end part,
-  list_transform(list_sort(list(case when gives then (-units, lane) end) over ({g}))[1:3], x -> x[2]) asked from c{k}),
+  list_transform(list_sort(list(case when gives then (-units, lane) end) over ({g}))[1:3], lambda x: x[2]) asked from c{k}),
 e{k} as (select *, case when mine then sum(part) over ({g}) else 0 end got from d{k}),
 f{k} as (select * exclude (mine, owed, any_free, gives, part, asked, got, units, added, donors), added + got added, case when got > 0 then asked else donors end donors, units - part + got units from e{k})
 """
