@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from millrace.operators.joins import lookup_join
 from millrace.session import use_checkpoints
 
-#: Rows from which a group is heavy.
-HEAVY_ROWS = 100_000
+#: A group is heavy if it holds more than this share of all rows, and some
+#: thousands, or more rows than one task should order.
+HEAVY_SHARE, LEAST_ROWS, HEAVY_ROWS = 0.02, 4_000, 100_000
 #: Rows that one range of the heavy groups should hold.
 RANGE_ROWS = 100_000
 #: Heavy groups that are listed to the driver; more stay a table.
@@ -23,10 +24,12 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return kept.select(key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-def top_n(rows: DataFrame, groups: list[str], score: str, tie: str, n: int, heavy_rows: int = HEAVY_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def top_n(rows: DataFrame, groups: list[str], score: str, tie: str, n: int, heavy_rows: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The n rows with the highest score of each group, equal scores by ``tie``.
 
-    Groups are counted exactly. Light groups take an ordinary window. Rows of
+    Groups are counted exactly, and those are heavy that stand out among all:
+    more than a fiftieth of the rows, so at most fifty, or HEAVY_ROWS
+    (``heavy_rows`` replaces both). Light groups take an ordinary window. Rows of
     heavy groups are sorted into ranges over (group, salt of the score order,
     tie), each range keeps n rows of each of its groups, and a window over
     those is final; so no task sees a whole heavy group. Rows with a null or
@@ -39,6 +42,8 @@ def top_n(rows: DataFrame, groups: list[str], score: str, tie: str, n: int, heav
         ranked = ranked.where(F.col(g).isNotNull())
     ranked = ranked.withColumn("_s", F.col(score) + F.lit(0.0))
     order = [F.desc("_s"), F.asc(tie)]
+    if heavy_rows is None:
+        heavy_rows = min(HEAVY_ROWS, max(LEAST_ROWS, int(HEAVY_SHARE * ranked.count())))
     sizes = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= heavy_rows)
     heavy = sizes.limit(LISTED + 1).collect()
     heavy = heavy if len(heavy) <= LISTED else None

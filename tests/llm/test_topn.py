@@ -30,3 +30,14 @@ def test_latest_row_decides_and_null_keys_go(spark):
     df = spark.createDataFrame(rows, "decision_id string, seq long, branch_id string, step int, lane string, opus_score double")
     assert [x["decision_id"] for x in topn.best_decisions(df).collect()] == ["e"]
     assert topn.best_decisions(df.where("seq < 0")).count() == 0
+
+
+def test_a_group_that_stands_out_takes_the_ranges_by_itself(spark):
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 1000)) g", "concat('i', id) id", "double(id % 7) score")
+    found = topn.top_n(df, ["g"], "score", "id", 2)
+    plan = found._jdf.queryExecution().toString()
+    assert "rangepartitioning" in plan and "Union" in plan
+    want = {}
+    for r in df.collect():
+        want.setdefault(r["g"], []).append((-r["score"], r["id"]))
+    assert sorted((r["g"], r["id"]) for r in found.collect()) == sorted((g, i) for g, own in want.items() for _, i in sorted(own)[:2])
