@@ -9,24 +9,30 @@ from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import lookup_join
+from millrace.operators.joins import is_small, lookup_join
 
 #: Letters of a window in scripts with and without spaces between words, and
-#: the step at which training texts are probed.
+#: the step at which items' windows are indexed; texts are probed at each letter.
 WIDE, NARROW = 12, 6
 WIDE_STEP, NARROW_STEP = 4, 2
 #: Items of a window from which it counts as common.
 COMMON = 3
+#: Hits that a passage must have for common windows to be left out.
+ENOUGH = 4
 #: Share of an item's words that a leak holds, and of words replaced in it.
 HELD, REPLACED = 0.5, 0.1
 #: Letters by which two pieces of one passage may lie apart.
 APART = 40
-#: Bytes of item texts in one broadcast block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item texts in one broadcast block. Its index has 12 bytes for every
+#: fourth letter of them, and 64 MB at most for the table before it.
+BLOCK_BYTES = 96 << 20
+#: Letters of a text that are probed at once.
+PROBED = 1 << 20
 
 UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _unspaced = re.compile(f"[{UNSPACED}]")
@@ -94,10 +100,9 @@ class Item:
         self.least = sum(sorted(map(len, words))[:kept])
         self.width = NARROW if self.unspaced else WIDE
         self.step = NARROW_STEP if self.unspaced else WIDE_STEP
-        self.need = 1
         self._pieces: dict[str, list[int]] | None = None
-        mark = letters(canary or "")
-        self.stem = mark[:8]
+        self.written = canary or ""
+        mark = letters(self.written)
         self.canary = re.compile(r"(?<![^\W_])" + r"[\W_]*".join(map(re.escape, mark)) + r"(?![^\W_])") if mark else None
 
     def pieces(self) -> tuple[int, dict[str, list[int]]]:
@@ -109,62 +114,174 @@ class Item:
                 self._pieces[self.text[p : p + size]].append(p)
         return size, self._pieces
 
-    def windows(self) -> list[str]:
-        return [self.text[i : i + self.width] for i in range(len(self.text) - self.width + 1)]
+    def windows(self) -> np.ndarray:
+        """Hashes of all windows of the text, in order."""
+        return hashes(self.text)[0 if self.unspaced else 1]
+
+    def mark(self) -> int | None:
+        """Hash of the canary's last letters; None if it is too short for one."""
+        ends = hashes(letters(self.written))
+        return int(ends[1][-1]) if len(ends[1]) else int(ends[0][-1]) if len(ends[0]) else None
+
+    def most_gone(self) -> int:
+        """Words that a passage can have replaced, at most."""
+        return int(self.replaced * self.words + 0.5)
+
+    def indexed(self, common: np.ndarray) -> tuple[int, np.ndarray]:
+        """The number of indexed windows that a passage must hit, and the places of these.
+
+        Windows that many items share, such as those of lead-in lines, tell
+        little and are left out if the others are enough. Of the windows in a
+        stretch with half of the words, each replaced word destroys those that
+        it touches: what is left if it is the worst words that are replaced, in
+        the stretch that keeps the fewest, is hit by every passage. No more is
+        asked for than that.
+        """
+        every = np.zeros(len(common), bool)
+        every[:: self.step] = True
+        need = 1
+        for chosen in (every & ~common, every):
+            need = self._sure(chosen)
+            if need >= ENOUGH:
+                break
+        return max(1, need), np.flatnonzero(chosen)
+
+    def _sure(self, chosen: np.ndarray) -> int:
+        """The fewest of the chosen windows that a passage of half the words can have."""
+        size, n = len(chosen), -int(-HELD * self.words // 1)
+        if not size or not n:
+            return 0
+        total = np.concatenate([[0], np.cumsum(chosen)])
+        starts = np.array(self.starts)
+        begin, end = np.minimum(starts[:-1], size), np.minimum(starts[1:], size)
+        touched = total[end] - total[np.clip(starts[:-1] - self.width + 1, 0, size)]
+        gone = int(self.replaced * n + 0.5)
+        least = size
+        for i in range(self.words - n + 1):
+            inside = total[np.clip(starts[i + n] - self.width + 1, begin[i], size)] - total[begin[i]]
+            least = min(least, int(inside) - int(np.sort(touched[i : i + n])[n - gone :].sum()))
+        return least
+
+
+_K = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 6)]
+
+
+def hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all narrow and of all wide windows of a text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(codes) < NARROW:
+        return np.empty(0, np.uint32), np.empty(0, np.uint32)
+    two = codes[:-1] * _K[0] + codes[1:]
+    four = two[:-2] * _K[1] + two[2:]
+    six = four[:-2] * _K[1] + two[4:]
+    twelve = six[:-6] * _K[2] + six[6:]
+    return _top(six), _top(twelve)
+
+
+def _top(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+
+
+class _Table:
+    """Sorted hashes with the number of their item and their place in it,
+    behind a table of bits."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray, np.ndarray]]):
+        hash_ = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint32)
+        place = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int32)
+        item = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
+        order = np.argsort(hash_, kind="stable")
+        self.hash, self.item, self.place = hash_[order].astype(np.uint32), item[order], place[order].astype(np.int32)
+        width = min(26, max(12, int(len(hash_)).bit_length() + 3))
+        self.shift = np.uint32(32 - width)
+        self.there = np.zeros(1 << width, bool)
+        self.there[self.hash >> self.shift] = True
+
+    def hits(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the probe, item and place in the item of all that are there."""
+        at = np.flatnonzero(self.there[probes >> self.shift]) if len(self.hash) else np.empty(0, np.int64)
+        wanted = probes[at]
+        low = np.searchsorted(self.hash, wanted, "left")
+        many = np.searchsorted(self.hash, wanted, "right") - low
+        at, low, many = at[many > 0], low[many > 0], many[many > 0]
+        rows = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.repeat(at, many), self.item[rows], self.place[rows]
+
+
+class Probe:
+    """The hash sets of the items' windows and canaries, as arrays: what every
+    text is probed with. Nothing of the items' texts is in it.
+
+    entries: item id, windows needed, whether it is of a script without
+    spaces, indexed windows, their places, hash of the canary's last letters,
+    and how many words of the item can be replaced at most.
+    """
 
+    def __init__(self, entries: list[tuple[int, int, bool, np.ndarray, np.ndarray, int | None, int]]):
+        self.ids, self.need = [e[0] for e in entries], np.array([e[1] for e in entries], np.int64)
+        self.shift = np.array([APART * (e[6] + 1) for e in entries], np.int64)
+        numbered = list(enumerate(entries))
+        self.wide, self.narrow = (_Table([(i, e[3], e[4]) for i, e in numbered if e[2] == kind and len(e[3])]) for kind in (False, True))
+        self.marks = _Table([(i, np.array([e[5]], np.uint32), np.zeros(1, np.int32)) for i, e in numbered if e[5] is not None])
+
+    def candidates(self, flat: str) -> dict[int, tuple[list[int], bool]]:
+        """item id -> places of the probes that hit, for items with enough of
+        them, and whether the end of its canary is there."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        marked: set[int] = set()
+        for begin in range(0, max(1, len(flat)), PROBED):
+            part = flat[begin : begin + PROBED + WIDE - 1]
+            narrow, wide = hashes(part)
+            tables = [(self.wide, wide)]
+            if len(self.narrow.hash) and _unspaced.search(part):
+                tables.append((self.narrow, narrow[:PROBED]))
+            for table, probes in tables:
+                at, item, place = table.hits(probes)
+                if len(at):
+                    found.append((item, at + begin, place))
+            for probes in (narrow[:PROBED], wide):
+                marked.update(self.marks.hits(probes)[1].tolist())
+        out: dict[int, tuple[list[int], bool]] = {}
+        if found:
+            item, at, place = (np.concatenate(c) for c in zip(*found))
+            number, count = np.unique(item, return_counts=True)
+            for i in number[count >= self.need[number]]:
+                own = item == i
+                if hits := _aligned(at[own], place[own], int(self.need[i]), int(self.shift[i])):
+                    out[self.ids[i]] = (hits, int(i) in marked)
+        return out | {self.ids[i]: ([], True) for i in marked if self.ids[i] not in out}
+
+
+def _aligned(at: np.ndarray, place: np.ndarray, need: int, shift: int) -> list[int]:
+    """Places in the text of the hits that lie with enough others as they lie
+    in the item, to within ``shift`` letters by which replaced words can move them."""
+    off = at - place
+    order = np.argsort(off, kind="stable")
+    off, where, what = off[order], at[order], place[order]
+    kept = np.zeros(len(off), bool)
+    ends = np.searchsorted(off, off + shift, "right")
+    for b, e in zip(range(len(off)), ends.tolist()):
+        if e - b >= need and not kept[b:e].all() and len(np.unique(what[b:e])) >= need:
+            kept[b:e] = True
+    return np.sort(where[kept]).tolist()
 
-class Index:
-    """The hash sets of the items' windows.
 
-    Windows that many items share, such as those of lead-in lines, are left
-    out, as they tell nothing. ``need`` is the number of probes that a passage
-    of half an item's words must hit: of the windows that stay in the half
-    that keeps the fewest, one replaced word in ten can destroy about half;
-    a third of them is asked for. An item that is all common keeps all.
-    """
+class Index:
+    """Probe and items of a few rows together, on one machine."""
 
     def __init__(self, rows: list[tuple]):
         self.items = {r[0]: Item(*r) for r in rows}
-        self.stems = {i.stem for i in self.items.values() if i.canary}
-        shared = Counter(w for i in self.items.values() for w in set(i.windows()))
-        self.wide: dict[str, list[int]] = defaultdict(list)
-        self.narrow: dict[str, list[int]] = defaultdict(list)
+        windows = {i.id: i.windows() for i in self.items.values()}
+        shared = Counter(h for w in windows.values() for h in set(w.tolist()))
+        self.needs, entries = {}, []
         for i in self.items.values():
-            windows = i.windows()
-            rare = [shared[w] < COMMON for w in windows]
-            half = max(1, len(windows) // 2)
-            least = sum(rare[:half])
-            low = least
-            for k in range(half, len(windows)):
-                low += rare[k] - rare[k - half]
-                least = min(least, low)
-            if least < 8 * i.step:
-                rare, least = [True] * len(windows), half
-            i.need = max(1, int(least * 0.3 / i.step))
-            into = self.narrow if i.unspaced else self.wide
-            for w, r in zip(windows, rare):
-                if r and i.id not in into[w]:
-                    into[w].append(i.id)
-        self.wide, self.narrow = ({w: ids for w, ids in d.items() if ids} for d in (self.wide, self.narrow))
-
-    def candidates(self, text: str) -> dict[int, list[int]]:
-        """item -> places of the probes that hit, for items with enough."""
-        hits: dict[int, list[int]] = defaultdict(list)
-        wide = self.wide
-        for i in range(0, len(text) - WIDE + 1, WIDE_STEP):
-            if (w := text[i : i + WIDE]) in wide:
-                for item in wide[w]:
-                    hits[item].append(i)
-        if self.narrow and _unspaced.search(text):
-            narrow = self.narrow
-            for i in range(0, len(text) - NARROW + 1, NARROW_STEP):
-                if (w := text[i : i + NARROW]) in narrow:
-                    for item in narrow[w]:
-                        hits[item].append(i)
-        return {k: v for k, v in hits.items() if len(v) >= self.items[k].need}
-
-
-def passage(item: Item, text: str, hits: list[int], begins: Callable[[int], bool]) -> tuple[int, int, int] | None:
+            need, places = i.indexed(np.array([shared[h] >= COMMON for h in windows[i.id].tolist()], bool))
+            self.needs[i.id] = need
+            entries.append((i.id, need, i.unspaced, windows[i.id][places], places, i.mark(), i.most_gone()))
+        self.probe = Probe(entries)
+
+
+def passage(item: Item, text: str, hits: list[int], need: int, begins: Callable[[int], bool]) -> tuple[int, int, int] | None:
     """The longest stretch of the item that the text holds around the hits, if
     it has half of the item's words: (words, start, end) in the text's letters.
 
@@ -177,7 +294,7 @@ def passage(item: Item, text: str, hits: list[int], begins: Callable[[int], bool
     """
     size, where = item.pieces()
     best = None
-    for lo, hi in _regions(hits, len(item.text), item.need):
+    for lo, hi in _regions(hits, len(item.text), need):
         lo, hi = max(0, lo), min(len(text), hi)
         blocks, reached = [], {}
         for a in range(lo, hi - size + 1):
@@ -218,11 +335,12 @@ def _chain(blocks: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     """Chains of blocks, each with the most letters that end in its last."""
     blocks.sort()
     score, before = [], []
+    reach = APART + max((n for _, _, n in blocks), default=0)
     for j, (a, b, n) in enumerate(blocks):
         top, prev = n, -1
         for i in range(j - 1, -1, -1):
             x, y, m = blocks[i]
-            if a - x > 40 * APART:
+            if a - x > reach:
                 break
             over = max(x + m - a, y + m - b, 0)
             if over >= min(n, m) or x >= a or y >= b or a - x - m > APART or b - y - m > APART:
@@ -340,21 +458,60 @@ def _best_run(item: Item, chains: list) -> tuple[int, int, int] | None:
     return best
 
 
-def _item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
-    """The items in blocks whose bytes are bounded, read one after another."""
+def _unique(items: DataFrame) -> DataFrame:
+    """One row per item; of rows with the same id the greatest counts."""
+    kept = items.where(F.col("item_id").isNotNull()).groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(F.struct("text", "canary")).alias("r"))
+    return kept.select("item_id", "r.text", "r.canary")
+
+
+def _entries(items: DataFrame) -> DataFrame:
+    """What Probe takes of every item, and the bytes of its text.
+
+    Common windows are counted over all items: a row per window is shuffled by
+    its hash and, if common, once more by item.
+    """
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Item(*r).windows().tolist() for r in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["item_id", "windows"])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item_id, text, canary, places in zip(*(c.to_pylist() for c in batch.columns)):
+                item = Item(item_id, text, canary)
+                common = np.zeros(max(0, len(item.text) - item.width + 1), bool)
+                common[places or []] = True
+                need, at = item.indexed(common)
+                out.append((item_id, need, item.unspaced, item.windows()[at].tolist(), at.tolist(), item.mark(), item.most_gone(), len((text or "").encode("utf-8", "replace"))))
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["item_id", "need", "unspaced", "windows", "at", "mark", "gone", "bytes"])
+
+    all_windows = items.mapInArrow(windows, "item_id long, windows array<long>")
+    common = all_windows.select(F.explode(F.array_distinct("windows")).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON).select("h")
+    places = all_windows.select("item_id", F.posexplode("windows").alias("place", "h")).join(common, "h").groupBy("item_id").agg(F.collect_list("place").alias("places"))
+    named = items.join(places, "item_id", "left").select("item_id", "text", "canary", "places")
+    return named.mapInArrow(entries, "item_id long, need int, unspaced boolean, windows array<long>, at array<int>, mark long, gone int, bytes long")
+
+
+def _probes(items: DataFrame) -> Iterator[Probe]:
+    """Probes of the items in blocks whose bytes are bounded."""
     rows, size = [], 0
-    for r in items.select("item_id", "text", "canary").where(F.col("item_id").isNotNull()).orderBy("item_id").toLocalIterator():
-        n = len((r[1] or "").encode()) + len((r[2] or "").encode())
-        if rows and size + n > BLOCK_BYTES:
-            yield rows
+    entries = _entries(items)
+    # one job if all fit in one block, otherwise a partition at a time
+    for r in entries.collect() if is_small(items, BLOCK_BYTES) else entries.toLocalIterator():
+        if rows and size + r["bytes"] > BLOCK_BYTES:
+            yield Probe(rows)
             rows, size = [], 0
-        rows.append((r[0], r[1], r[2]))
-        size += n
+        rows.append((r["item_id"], r["need"], r["unspaced"], np.array(r["windows"], np.uint32), np.array(r["at"], np.int32), r["mark"], r["gone"]))
+        size += r["bytes"]
     if rows:
-        yield rows
+        yield Probe(rows)
 
 
 LEAKS = "doc_id long, item_id long, kind string, words int, item_words int, start_pos int, end_pos int"
+CANDIDATES = "doc_id long, text string, item_id long, need int, hits array<int>, marked boolean"
 
 
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -364,33 +521,65 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     (words of item_words are there in order, together, at most a tenth of
     them replaced). One row per document, item and kind; start_pos and end_pos
     are places in the text. A null or empty text, or an item without text and
-    canary, has no row; equal texts each have theirs. No shuffle of texts: the
-    items' windows are broadcast, in as many bounded blocks as they need.
+    canary, has no row; equal texts each have theirs. Canaries of fewer letters
+    than a narrow window aren't looked for.
+
+    The texts are read once for every 96 MB of items and stay where they are:
+    what is broadcast are hashes of the items' windows. The few texts with
+    enough hits go on, with the items they point to, to be verified: a join on
+    the item, whose texts are broadcast only if they are small.
     """
     spark = documents.sparkSession
-    out = None
-    for rows in _item_blocks(items):
-        index = spark.sparkContext.broadcast(Index(rows))
-
-        def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix: Index = index.value
+    items = _unique(items)
+    near = None
+    for probe in _probes(items):
+        shared = spark.sparkContext.broadcast(probe)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            probe: Probe = shared.value
+            need = dict(zip(probe.ids, probe.need.tolist()))
+            names = [f.split()[0] for f in CANDIDATES.split(", ")]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_()]
             for batch in batches:
                 found = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if text:
-                        found.extend((doc, *x) for x in _scan(ix, text))
-                names = [f.split()[0] for f in LEAKS.split(", ")]
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+                        found.extend((doc, text, item, need[item], hits, marked) for item, (hits, marked) in probe.candidates(letters(text)).items())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names=names)
 
-        part = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, LEAKS)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], LEAKS)
+        part = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, CANDIDATES)
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        return spark.createDataFrame([], LEAKS)
+    both = lookup_join(near, items.select("item_id", F.col("text").alias("item_text"), "canary"), ["item_id"], "inner")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, Item] = {}
+        for batch in batches:
+            found = []
+            for doc, text, item_id, need, hits, marked, item_text, canary in zip(*(c.to_pylist() for c in batch.columns)):
+                if item_id not in kept:
+                    if len(kept) > 1000:
+                        kept.clear()
+                    kept[item_id] = Item(item_id, item_text, canary)
+                found.extend((doc, item_id, *x) for x in _verified(kept[item_id], text, letters(text), hits, need, marked))
+            names = [f.split()[0] for f in LEAKS.split(", ")]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names=names)
+
+    return both.select("doc_id", "text", "item_id", "need", "hits", "marked", "item_text", "canary").mapInArrow(verify, LEAKS)
+
+
+def _scan(index: Index, text: str) -> Iterator[tuple]:
+    """(item, kind, words, item's words, start, end) of the leaks in one text."""
+    flat = letters(text)
+    for item, (hits, marked) in index.probe.candidates(flat).items():
+        for found in _verified(index.items[item], text, flat, hits, index.needs[item], marked):
+            yield item, *found
 
 
-def _scan(ix: Index, text: str) -> Iterator[tuple]:
-    flat = letters(text)
-    near, exact = ix.candidates(flat), None
+def _verified(item: Item, text: str, flat: str, hits: list[int], need: int, marked: bool) -> Iterator[tuple]:
+    exact = None
 
     def begins(k: int) -> bool:
         nonlocal exact
@@ -400,15 +589,13 @@ def _scan(ix: Index, text: str) -> Iterator[tuple]:
         between = text[exact[k - 1] : exact[k]]
         return any(map(str.isspace, _code.sub(_decode, between) if _coded.search(between) else between))
 
-    for item in near:
-        if hit := passage(ix.items[item], flat, near[item], begins):
-            exact = exact or letters_at(text)[1]
-            yield item, "passage", hit[0], ix.items[item].words, exact[hit[1]], exact[hit[2] - 1] + 1
-    if any(stem in flat for stem in ix.stems):
+    if hits and (hit := passage(item, flat, hits, need, begins)):
+        exact = exact or letters_at(text)[1]
+        yield "passage", hit[0], item.words, exact[hit[1]], exact[hit[2] - 1] + 1
+    if marked and item.canary:
         plain, at = _folded(text)
-        for item in (i for i in ix.items.values() if i.canary):
-            if m := item.canary.search(plain):
-                yield item.id, "canary", None, item.words, at[m.start()], at[m.end() - 1] + 1
+        if m := item.canary.search(plain):
+            yield "canary", None, item.words, at[m.start()], at[m.end() - 1] + 1
 
 
 def _folded(text: str) -> tuple[str, list[int]]:

@@ -114,3 +114,46 @@ def test_short_words_beside_replaced_ones(item):
     # one word in three gone is no case
     w = ["quiet" if k % 3 == 1 else x for k, x in enumerate(all_words)]
     assert not [x for x in leaks._scan(index, FILL + " " + " ".join(w) + " " + FILL) if x[0] == item[0]]
+
+
+def test_probing_loses_no_passage_with_words_replaced():
+    # short words, and the replaced ones spread or side by side: what is asked for is always there
+    r = random.Random(3)
+    short = ["a", "of", "to", "by", "it", "we", "sun", "oak", "mill", "stone", "river", "gauge", "x", "no"]
+    rows = [(i, " ".join(r.choice(short) for _ in range(r.randrange(8, 60))), None) for i in range(40)]
+    rows += [(i, r.choice(rows)[1][:60] + " " + x, None) for i, x, _ in [(40 + k, " ".join(r.choice(short) for _ in range(30)), None) for k in range(20)]]
+    index, missed = leaks.Index(rows), []
+    for i, text, _ in rows:
+        w = text.split()
+        n = -(-len(w) // 2)
+        for _ in range(12):
+            first = r.randrange(len(w) - n + 1)
+            own = w[first : first + n]
+            for k in r.sample(range(n), int(0.1 * n + 0.5)):
+                own[k] = "zebra"
+            flat = leaks.letters("quiet " + " ".join(own) + " brook")
+            if len(leaks.letters(" ".join(own))) >= leaks.WIDE + 3 and i not in index.probe.candidates(flat) and index.needs[i] > 1:
+                missed.append((i, own))
+    assert missed == []
+
+
+def test_probe_against_a_plain_search():
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["ab", "cd", "ef", "水", "位"]) * r.randrange(1, 4) for _ in range(20)), None) for i in range(30)]
+    index = leaks.Index(rows)
+    for _ in range(50):
+        flat = leaks.letters("".join(r.choice(["ab", "cd", "ef", "水", "位"]) for _ in range(r.randrange(0, 60))))
+        for table, width, which in ((index.probe.wide, leaks.WIDE, 1), (index.probe.narrow, leaks.NARROW, 0)):
+            at, item, place = table.hits(leaks.hashes(flat)[which])
+            want = set()
+            for k, i in enumerate(index.items.values()):
+                for p in table.place[table.item == k].tolist():
+                    w = i.text[p : p + width]
+                    want |= {(q, k, p) for q in range(len(flat) - width + 1) if flat[q : q + width] == w}
+            assert set(zip(at.tolist(), item.tolist(), place.tolist())) == want
+
+
+def test_texts_longer_than_a_probe(monkeypatch):
+    monkeypatch.setattr(leaks, "PROBED", 100)
+    assert found(FILL + " " + words(2, 0.2, 0.9) + " " + FILL + " EVAL-CANARY-0003aa-b-v1") == {2, 3}
+    assert found(ZH[1][5:50] * 3) == {50}
