@@ -8,10 +8,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe
+from millrace.llm import bpe, sampling
 
 #: Documents per language that are tokenized, at most.
 SAMPLE = 600
@@ -93,18 +93,6 @@ def language(column: str = "lang") -> Column:
     return F.coalesce(F.try_element_at(known, tag), F.lit("und"))
 
 
-def _sample(documents: DataFrame, key: str, per_language: int) -> DataFrame:
-    """At most ``per_language`` documents of each language, chosen by a hash of
-    their key; the languages' counts, read first, keep the rest from being moved."""
-    named = documents.where(F.coalesce(F.octet_length("text"), F.lit(0)) > 0).select(key, language().alias("language"), "text")
-    sizes = {r["language"]: r["n"] for r in documents.groupBy(language().alias("language")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 2.0 * per_language / n + 0.001)))]) if sizes else F.create_map(F.lit(""), F.lit(1.0))
-    chance = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
-    few = named.withColumn("_h", chance).where(F.col("_h") < F.try_element_at(rate, F.col("language")) * (1 << 30))
-    order = Window.partitionBy("language").orderBy("_h", key)
-    return few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language)
-
-
 class Model:
     """Per language: weights of the features, and the factor that corrects the
     sum of its estimates; under ``*`` those of all languages together."""
@@ -143,7 +131,7 @@ class Model:
 
 def fit(documents: DataFrame, key: str = "doc_id", sample: int = SAMPLE, vocabulary: str = "byte_bpe_50k", folder: str = bpe.VOCABULARIES) -> Model:
     """Fit and correct on at most ``sample`` tokenized documents per language."""
-    chosen = _sample(documents, key, sample)
+    chosen = sampling.by_group(documents.where(F.coalesce(F.octet_length("text"), F.lit(0)) > 0), language(), key, sample, ["text"])
     ranks = documents.sparkSession.sparkContext.broadcast(bpe.read_ranks(vocabulary, folder))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +141,7 @@ def fit(documents: DataFrame, key: str = "doc_id", sample: int = SAMPLE, vocabul
             found = pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array([len(encode(t)) // 4 for t in texts], pa.int32())], names=["language", "rank", "x", "tokens"])
 
-    rows = chosen.select("language", F.col("_rank").alias("rank"), "text").mapInArrow(work, "language string, rank int, x array<double>, tokens int").collect()
+    rows = chosen.select(F.col("group").alias("language"), "rank", "text").mapInArrow(work, "language string, rank int, x array<double>, tokens int").collect()
     return Model().fit([(r["language"], r["rank"], np.array(r["x"]), r["tokens"]) for r in sorted(rows, key=lambda r: (r["language"], r["rank"]))])
 
 
@@ -177,6 +165,19 @@ def estimate(documents: DataFrame, keep: list[str], model: Model) -> DataFrame:
     return source.mapInArrow(work, f"{kinds}, tokens long")
 
 
+def errors(exact: DataFrame, estimated: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per language: tokens counted and estimated, how far the sum is off, and
+    how far a document is on average.
+
+    exact: key, language, tokens; estimated: key, tokens; keys are unique.
+    Documents that count no tokens, or are in one table only, are left out.
+    """
+    both = exact.where(F.col("tokens") > 0).join(estimated.select(key, F.col("tokens").alias("_guess")), key)
+    off = F.abs(F.col("_guess") - F.col("tokens")) / F.col("tokens")
+    sums = both.groupBy("language").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("counted"), F.sum("_guess").alias("estimated"), F.round(F.avg(off), 6).alias("mean_error"))
+    return sums.withColumn("bias", F.round(F.col("estimated") / F.col("counted") - 1, 6))
+
+
 def slices(estimated: DataFrame) -> DataFrame:
     """Documents and tokens by source, language and domain."""
     return estimated.groupBy("source", language().alias("language"), "domain").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))

@@ -12,8 +12,6 @@ from millrace.session import use_checkpoints
 TEMPER = 0.7
 #: Documents of a leaf in one bucket of its epoch order.
 BUCKET_ROWS = 50_000
-#: Share of its cap from which a leaf is never rounded up.
-NEAR_CAP = 0.9
 
 
 def plain(column: Column) -> Column:
@@ -81,7 +79,8 @@ def budget_tree(leaves: DataFrame, roots: list[str], path: list[str], temper: fl
 
 def short_lanes(schedule: DataFrame, mixture: DataFrame) -> DataFrame:
     """The recorded schedule shared out over lanes: per run, stage and lane
-    what is asked, what the supply allows with repeats, and who is short.
+    what is asked, what the tree of budgets grants of it and of what others
+    are short of, and who is short: granted less than asked.
 
     Of each run, stage and lane (however spelt) the greatest revision counts;
     of equal revisions the later compiled. Lanes that the mixture lacks, and
@@ -92,22 +91,28 @@ def short_lanes(schedule: DataFrame, mixture: DataFrame) -> DataFrame:
     named = mixture.select("stage", "lane", plain(F.col("lane")).alias("_lane"), "sequence_length", "repeat_cap", "target_share")
     joined = lookup_join(last, named, ["stage", "_lane"], "inner")
     asked = F.col("r.sequences_required") * F.col("sequence_length")
-    rows = joined.select("run_id", "stage", "lane", "target_share", "repeat_cap", "r.sequences_required", "r.tokens_available", "r.repeat_factor", asked.alias("asked"), asked.cast("double").alias("weight"), (F.col("r.tokens_available") * F.col("repeat_cap")).alias("cap"))
+    supply = F.col("r.tokens_available").cast("double")
+    rows = joined.select(supply.alias("supply"), "run_id", "stage", "lane", "target_share", "repeat_cap", "r.sequences_required", "r.tokens_available", "r.repeat_factor", asked.alias("asked"), asked.cast("double").alias("weight"), (F.col("r.tokens_available") * F.col("repeat_cap")).alias("cap"))
     rows = rows.withColumn("budget", F.coalesce(F.sum("weight").over(Window.partitionBy("run_id", "stage")), F.lit(0.0)))
-    return share_out(rows, ["run_id", "stage"], "lane")
+    # nobody gets less than was asked unless there isn't more; a thousandth is for the division
+    return budget_tree(rows, ["run_id", "stage"], ["lane"]).withColumn("short", F.coalesce(F.col("asked") - F.col("granted") > 0.001, F.lit(False)))
 
 
 def mix(counted: DataFrame, mixture: DataFrame, seed: int = 1, budget: float | None = None) -> DataFrame:
-    """(stage, doc_id, lane, passes, tokens): how often each document is served.
+    """(stage, doc_id, lane, passes, tokens, served): how often each document
+    is served, and how many tokens of it in all.
 
     counted: doc_id, lane, domain, lang, source, tokens. Each stage's budget
     (by default all tokens of its lanes once) goes to lanes by target_share,
     and on down domain, language and source; a lane is given no more than
-    tokens x repeat_cap. A leaf's tokens come from whole passes over its
-    documents and a prefix of one more, in an order that seed, stage and pass
-    determine. The order is cut into buckets by ranges of a hash, so only the
-    bucket in which the prefix ends is ordered exactly, and no leaf is too
-    large. Documents without tokens, or of other lanes, aren't served.
+    tokens x repeat_cap. A leaf gives its budget to the token: whole passes
+    over its documents and a prefix of one more, in an order that seed, stage
+    and pass determine, whose last document is cut where the prefix ends. So a
+    leaf is never served more than its cap, though a document may stand in one
+    pass more than the cap's whole part. The order is cut into buckets by
+    ranges of a hash, so only the bucket in which the prefix ends is ordered
+    exactly, and no leaf is too large. Documents without tokens, or of other
+    lanes, aren't served.
     """
     shares = mixture.select("stage", "lane", "target_share", "repeat_cap")
     docs = counted.where(F.col("tokens") > 0).select("doc_id", "lane", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("domain", "lang", "source")], "tokens")
@@ -117,9 +122,9 @@ def mix(counted: DataFrame, mixture: DataFrame, seed: int = 1, budget: float | N
     total = F.lit(budget) if budget is not None else F.sum("supply").over(Window.partitionBy("stage"))
     leaves = leaves.withColumn("budget", total.cast("double")).withColumn("weight", F.col("target_share")).withColumn("cap", F.col("supply") * F.col("repeat_cap"))
     use_checkpoints(counted.sparkSession)
-    given = budget_tree(leaves, ["stage"], path).select("stage", *path, "supply", "_rows", "granted", (F.col("granted") > NEAR_CAP * F.col("cap")).alias("_strict"))
-    whole = F.floor(F.col("granted") / F.col("supply")).cast("int")
-    given = given.withColumn("whole", whole).withColumn("rest", F.col("granted") - F.col("whole") * F.col("supply")).withColumn("_buckets", F.ceil(F.col("_rows") / BUCKET_ROWS).cast("long"))
+    given = budget_tree(leaves, ["stage"], path).select("stage", *path, "supply", "_rows", F.floor(F.col("granted") + 1e-6).alias("granted"))
+    given = given.withColumn("whole", F.floor(F.col("granted") / F.col("supply")).cast("int"))
+    given = given.withColumn("rest", F.col("granted") - F.col("whole") * F.col("supply")).withColumn("_buckets", F.ceil(F.col("_rows") / BUCKET_ROWS).cast("long"))
     # a row per leaf, and below per bucket: each is measured before it is joined
     given = given.checkpoint()
     served = _join_leaves(docs, given, path)
@@ -131,14 +136,13 @@ def mix(counted: DataFrame, mixture: DataFrame, seed: int = 1, budget: float | N
     before = Window.partitionBy("stage", *path).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).checkpoint()
     placed = _join_leaves(served, sums, ["stage", *path, "_bucket"])
-    inside = placed.where((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_sum") > F.col("rest")))
+    ends_inside = (F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_sum") > F.col("rest"))
     run = Window.partitionBy("stage", *path, "_bucket").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the document in which the rest ends is in if most of it is; near a cap, if all of it is
-    through = F.col("_before") + F.sum("tokens").over(run) - F.when(F.col("_strict"), 0).otherwise(F.col("tokens") / 2)
-    inside = inside.withColumn("_more", (through <= F.col("rest")).cast("int"))
-    outside = placed.where(~((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_sum") > F.col("rest")))).withColumn("_more", (F.col("_before") + F.col("_sum") <= F.col("rest")).cast("int"))
-    both = inside.unionByName(outside)
-    return both.select("stage", "doc_id", "lane", (F.col("whole") + F.col("_more")).alias("passes"), "tokens").where(F.col("passes") > 0)
+    begins = F.col("_before") + F.sum("tokens").over(run) - F.col("tokens")
+    inside = placed.where(ends_inside).withColumn("_more", F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("rest") - begins)))
+    outside = placed.where(~ends_inside).withColumn("_more", F.when(F.col("_before") + F.col("_sum") <= F.col("rest"), F.col("tokens")).otherwise(0))
+    both = inside.unionByName(outside).withColumn("passes", F.col("whole") + (F.col("_more") > 0).cast("int"))
+    return both.where(F.col("passes") > 0).select("stage", "doc_id", "lane", "passes", "tokens", (F.col("whole") * F.col("tokens") + F.col("_more")).cast("long").alias("served"))
 
 
 def lookup_join_many(supply: DataFrame, shares: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def _join_leaves(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
 
 def shares(served: DataFrame, counted: DataFrame, mixture: DataFrame) -> DataFrame:
     """Per stage and lane: target and actual share of tokens, and repeats."""
-    got = served.groupBy("stage", "lane").agg(F.sum(F.col("passes") * F.col("tokens")).alias("tokens"), F.max("passes").alias("most_passes"))
+    got = served.groupBy("stage", "lane").agg(F.sum("served").alias("tokens"), F.max("passes").alias("most_passes"))
     have = counted.groupBy("lane").agg(F.sum("tokens").alias("available"))
     rows = mixture.select("stage", "lane", "target_share", "repeat_cap").join(got, ["stage", "lane"], "left").join(have, "lane", "left").na.fill(0, ["tokens", "available", "most_passes"])
     total = F.sum("tokens").over(Window.partitionBy("stage"))

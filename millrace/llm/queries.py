@@ -27,6 +27,12 @@ def p2_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _estimated(spark, folder)
 
 
+def p2_error(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimates beside the exact counts, per language."""
+    named = bpe.count_tokens(table(spark, folder, "documents"), ["doc_id", "lang"]).select("doc_id", budget.language().alias("language"), "tokens")
+    return budget.errors(named, _estimated(spark, folder))
+
+
 def p2_slices(spark: SparkSession, folder: str) -> DataFrame:
     return budget.slices(_estimated(spark, folder, "source", "lang", "domain"))
 
@@ -131,7 +137,7 @@ def p9_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_documents, p2_slices, p2_segments, p2_schedule, p3_found, p3_spans, p3_clean, p3_blocked, p4_found, p5_found, p5_mix, p5_shares, p5_granted, p7_ids, p8_places, p8_fill, p9_found, p9_lengths)
+    for f in (p2_documents, p2_error, p2_slices, p2_segments, p2_schedule, p3_found, p3_spans, p3_clean, p3_blocked, p4_found, p5_found, p5_mix, p5_shares, p5_granted, p7_ids, p8_places, p8_fill, p9_found, p9_lengths)
 }
 _SHORT = """
 with last as (select * from (select *, regexp_replace(lower(lane), '[_\\- ]', '', 'g') l,
@@ -143,6 +149,14 @@ rows as (select s.run_id, m.stage, m.lane, s.sequences_required * m.sequence_len
 
 ORACLES = {
     "p5_found": _SHORT + "select run_id, stage, lane from rows where asked > cap",
+    "p5_granted": _SHORT.replace("s.tokens_available * m.repeat_cap cap", "s.tokens_available * m.repeat_cap cap, s.sequences_required, s.tokens_available, s.repeat_factor") + """,
+lev as (select *, coalesce(cap / nullif(asked, 0), 'infinity'::double) ratio, sum(asked) over (partition by run_id, stage) budget from rows),
+fil as (select *, (budget - coalesce(sum(case when asked > 0 then coalesce(cap, 0) else 0 end) over before, 0)) / nullif(budget - coalesce(sum(asked) over before, 0), 0) level,
+  row_number() over (partition by run_id, stage order by ratio, lane) k from lev window before as (partition by run_id, stage order by ratio, lane rows between unbounded preceding and 1 preceding)),
+fin as (select *, arg_min(level, k) filter (where ratio > level and asked > 0) over (partition by run_id, stage) water from fil)
+select run_id, stage, lane, sequences_required, tokens_available, repeat_factor, asked,
+  round(case when asked <= 0 then 0 when water is null then cap else least(coalesce(cap, 'infinity'::double), asked * greatest(water, 0)) end, 3) granted,
+  round(case when asked <= 0 then 0 when water is null then cap else least(coalesce(cap, 'infinity'::double), asked * greatest(water, 0)) end / nullif(tokens_available, 0), 6) repeats from fin""",
     "p4_found": """
 with last as (select * from (select *, row_number() over (partition by decision_id order by seq desc) k from opus_decisions where decision_id is not null) where k = 1),
 ranked as (select branch_id, step, lane, decision_id, row_number() over (partition by branch_id, step, lane order by opus_score + 0.0 desc, decision_id) r

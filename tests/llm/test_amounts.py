@@ -119,6 +119,35 @@ def test_mix_reaches_shares_and_keeps_caps(spark, monkeypatch):
     assert mixing.mix(counted.where("doc_id < 0"), mixture).count() == 0
 
 
+def test_leaves_give_their_budget_to_the_token(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 25)
+    r = random.Random(21)
+    docs = [(i, "big" if i % 5 else "small", "d", "en", f"s{i % 3}", r.randrange(1, 400)) for i in range(400)]
+    counted = spark.createDataFrame(docs, "doc_id long, lane string, domain string, lang string, source string, tokens int")
+    mixture = spark.createDataFrame([("one", "big", 8, 0.6, 1.0), ("one", "small", 8, 0.4, 2.5)], MIX)
+    supply = {x: sum(d[5] for d in docs if d[1] == x) for x in ("big", "small")}
+    for budget_ in (7.0, 20_000.0, 0.9 * sum(supply.values()), 10.0 * sum(supply.values())):
+        rows = mixing.mix(counted, mixture, budget=budget_).collect()
+        want = slow_share(budget_, [("big", 0.6, supply["big"] * 1.0), ("small", 0.4, supply["small"] * 2.5)])
+        for lane in supply:
+            got = sum(x["served"] for x in rows if x["lane"] == lane)
+            assert want[lane] - 4 <= got <= want[lane] + 1e-6
+        leaves = {}
+        for x in rows:
+            d = docs[x["doc_id"]]
+            assert (x["passes"] - 1) * d[5] < x["served"] <= x["passes"] * d[5] and x["passes"] <= 3
+            leaves.setdefault((d[1], d[4]), []).append(x)
+        # one document of a leaf is cut at most
+        assert all(sum(x["served"] % docs[x["doc_id"]][5] > 0 for x in own) <= 1 for own in leaves.values())
+
+
+def test_errors_of_the_estimates(spark):
+    exact = spark.createDataFrame([(1, "en", 10), (2, "en", 30), (3, "hi", 0), (4, "fr", 5)], "doc_id long, language string, tokens int")
+    guess = spark.createDataFrame([(1, 12), (2, 27), (3, 4)], "doc_id long, tokens long")
+    assert [tuple(x) for x in budget.errors(exact, guess).collect()] == [("en", 2, 40, 39, 0.15, -0.025)]
+    assert budget.errors(exact.where("doc_id < 0"), guess).count() == 0
+
+
 def test_short_lanes_take_the_last_revision_however_spelt(spark):
     rows = [("r", 1, "one", "big", 10, 99, 5, 1.0), ("r", 2, "one", "BIG", 10, 99, 1000, 1.0), ("r", 2, "one", "BIG", 10, 99, 1000, 1.0), ("r", 1, "one", "s-mall", 10, 99, 26, 1.0), ("r", 1, "one", "ghost", 10, 9, 0, 1.0), ("q", 1, "one", "big", 10, 1, None, None)]
     schedule = spark.createDataFrame([(*r, None) for r in rows], "run_id string, revision int, stage string, lane string, sequences_required long, distinct_samples_available long, tokens_available long, repeat_factor double, compiled_at timestamp")
