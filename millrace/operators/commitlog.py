@@ -35,6 +35,10 @@ class CommitLog:
         """A path that no other run uses."""
         return f"{self.root}/{kind}/{uuid.uuid4().hex}"
 
+    def names(self, path: str) -> list[str]:
+        """What lies directly in a folder."""
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(path))]
+
     def versions(self) -> list[int]:
         names = (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/_commits")))
         return sorted(int(n[:-5]) for n in names if n.endswith(".json"))

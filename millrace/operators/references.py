@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.commitlog import CommitLog
 from millrace.operators.joins import skew_join
+from millrace.session import use_checkpoints
+
+#: Buckets of the state's keys, and batches after which its layers are merged.
+BUCKETS, LAYERS = 16, 8
 
 REFS = "ref_field string, ref_key string, owner string, seq long, at timestamp"
 PARENTS = "ref_field string, ref_key string, first_at timestamp, gone_at timestamp"
@@ -48,15 +52,23 @@ def advance(old_refs: DataFrame | None, old_parents: DataFrame | None, old_open:
     over without being looked at. Repeated rows of a batch, or rows of an
     earlier batch again, change nothing. Empty inputs are allowed.
     """
-    refs, parents = clean_refs(new_refs).dropDuplicates(["ref_field", "owner", "seq", "ref_key"]), new_parents
     if old_open is None:
-        return probe(refs, parent_index(parents)).where(F.col("ref_state").isNotNull())
-    touched = new_parents.select("ref_field", "ref_key").distinct()
+        refs = clean_refs(new_refs).dropDuplicates(["ref_field", "owner", "seq", "ref_key"])
+        return probe(refs, parent_index(new_parents)).where(F.col("ref_state").isNotNull())
+    return _advance(old_refs, old_parents.unionByName(new_parents), old_open, new_refs, new_parents)
+
+
+def _advance(old_refs: DataFrame, parents: DataFrame, old_open: DataFrame, new_refs: DataFrame, came: DataFrame) -> DataFrame:
+    """advance, with all parents together and those that came or went again."""
+    one = ["ref_field", "owner", "seq", "ref_key"]
+    touched = came.select("ref_field", "ref_key").distinct()
     again = old_refs.join(touched, ["ref_field", "ref_key"], "left_semi")
-    due = again.unionByName(refs).dropDuplicates(["ref_field", "owner", "seq", "ref_key"])
+    due = again.unionByName(clean_refs(new_refs)).dropDuplicates(one)
+    if due.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        # looked at four times below
+        due = due.checkpoint()
     needed = due.select("ref_field", "ref_key").distinct()
-    index = parent_index(old_parents.unionByName(parents).join(needed, ["ref_field", "ref_key"], "left_semi"))
-    one = ["ref_field", "owner", "seq", "ref_key"]
+    index = parent_index(parents.join(needed, ["ref_field", "ref_key"], "left_semi"))
     seen = due.select(*[F.col(c).alias(f"_{c}") for c in one])
     still = old_open.join(seen, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in one)), "left_anti")
     return still.unionByName(probe(due, index).where(F.col("ref_state").isNotNull()))
@@ -67,44 +79,79 @@ def counts(open_refs: DataFrame) -> DataFrame:
     return open_refs.groupBy("ref_field", F.to_date("at").alias("day"), "ref_state").agg(F.count(F.lit(1)).alias("orphans"))
 
 
+def bucket() -> Column:
+    """The bucket of a row's key."""
+    return F.pmod(F.xxhash64("ref_field", "ref_key"), F.lit(BUCKETS)).cast("int")
+
+
+def write_buckets(rows: DataFrame, path: str) -> None:
+    """Rows as files of their buckets, few where they are small; a bucket that
+    a hot key makes large is split over several tasks and files."""
+    rows.withColumn("bucket", bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+
+
 class PendingOrphans:
     """The state of ``advance`` in a shared folder.
 
-    References and parents are appended to, the open orphans are rewritten;
-    each batch commits all three, with a snapshot of the counts, in one
-    manifest, so a batch that fails can simply be given again. A deletion is a
-    parent row with ``gone_at`` set; it stands for all earlier rows of its key
-    that have the same ``first_at``.
+    References and the copies of parents are kept by buckets of their key, in
+    a layer for every batch; the open orphans are rewritten. A batch reads only
+    the buckets that it touches: those of keys whose parents came or went, for
+    the references to them, and those of all keys to be probed, for their
+    parents. After LAYERS batches the layers are merged into one, in which a
+    copy of a parent is one row. Each batch commits layers, open orphans and a
+    snapshot of the counts in one manifest, so a batch that fails can simply
+    be given again. A deletion is a parent row with ``gone_at`` set; it stands
+    for all earlier rows of its key that have the same ``first_at``.
     """
 
     def __init__(self, spark: SparkSession, root: str):
+        use_checkpoints(spark)
         self.spark, self.log = spark, CommitLog(spark, root)
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _parents(self, paths: list[str]) -> DataFrame:
-        rows = self._read(paths, PARENTS)
-        return rows.groupBy("ref_field", "ref_key", "first_at").agg(F.max("gone_at").alias("gone_at"))
+    def _layers(self, paths: list[str], schema: str, touched: list[int] | None = None) -> DataFrame:
+        """Rows of all layers, or of some of their buckets. Layers aren't below
+        one folder, so each is read by itself."""
+        each = [self.spark.read.schema(f"{schema}, bucket int").parquet(p) for p in paths]
+        rows = reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], f"{schema}, bucket int")
+        return (rows if touched is None else rows.where(F.col("bucket").isin(touched))).drop("bucket")
+
+    def _buckets(self, path: str) -> list[int]:
+        """The buckets that a layer has."""
+        return [int(n[7:]) for n in self.log.names(path) if n.startswith("bucket=")]
+
+    @staticmethod
+    def _copies(parents: DataFrame) -> DataFrame:
+        return parents.groupBy("ref_field", "ref_key", "first_at").agg(F.max("gone_at").alias("gone_at"))
 
     def batch(self, new_refs: DataFrame, new_parents: DataFrame) -> DataFrame:
+        """Take rows into the state; the open orphans after them."""
+        refs_at, parents_at = self.log.fresh("refs"), self.log.fresh("parents")
+        write_buckets(clean_refs(new_refs), refs_at)
+        write_buckets(new_parents, parents_at)
         version, state = self.log.latest()
-        refs_at, parents_at, open_at, counts_at = (self.log.fresh(k) for k in ("refs", "parents", "open", "counts"))
-        clean_refs(new_refs).write.parquet(refs_at)
-        new_parents.write.parquet(parents_at)
-        refs, parents = self._read([refs_at], REFS), self._read([parents_at], PARENTS)
-        old_open = self._read([state["open"]], f"{REFS}, ref_state string") if state else None
-        everything = [*state.get("parents", []), parents_at]
-        if old_open is None:
-            after = advance(None, None, None, refs, self._parents([parents_at]))
+        open_at, counts_at = self.log.fresh("open"), self.log.fresh("counts")
+        layers = {"refs": [*state.get("refs", []), refs_at], "parents": [*state.get("parents", []), parents_at]}
+        refs, came = self._layers([refs_at], REFS), self._layers([parents_at], PARENTS)
+        if not state:
+            after, read = advance(None, None, None, refs, self._copies(came)), {}
         else:
-            keys = parents.select("ref_field", "ref_key").distinct()
-            known = self._parents(everything)
-            after = advance(self._read(state["refs"], REFS), known.join(keys, ["ref_field", "ref_key"], "left_anti"), old_open, refs, known.join(keys, ["ref_field", "ref_key"], "left_semi"))
+            theirs = self._buckets(parents_at)
+            due = sorted({*self._buckets(refs_at), *theirs})
+            known = self._copies(self._layers(layers["parents"], PARENTS, due))
+            after = _advance(self._layers(state["refs"], REFS, theirs), known, self.open(), refs, came)
+            read = {"refs": len(theirs), "parents": len(due)}
         after.write.parquet(open_at)
-        found = self.spark.read.parquet(open_at)
+        found = self._read([open_at], f"{REFS}, ref_state string")
         counts(found).write.parquet(counts_at)
-        self.log.commit(version, {"refs": [*state.get("refs", []), refs_at], "parents": everything, "open": open_at, "counts": counts_at})
+        if len(layers["refs"]) > LAYERS:
+            merged = {kind: self.log.fresh(kind) for kind in layers}
+            write_buckets(self._layers(layers["refs"], REFS), merged["refs"])
+            write_buckets(self._copies(self._layers(layers["parents"], PARENTS)), merged["parents"])
+            layers = {kind: [path] for kind, path in merged.items()}
+        self.log.commit(version, {**layers, "open": open_at, "counts": counts_at, "buckets_read": read})
         return found
 
     def open(self) -> DataFrame:
@@ -115,6 +162,11 @@ class PendingOrphans:
         """Their counts, as committed with that batch."""
         return self._read([self.log.latest()[1]["counts"]], "ref_field string, day date, ref_state string, orphans long")
 
+    def snapshots(self) -> DataFrame:
+        """The counts of every batch, with its number."""
+        each = [self._read([self.log.read(v)["counts"]], "ref_field string, day date, ref_state string, orphans long").withColumn("batch", F.lit(v)) for v in self.log.versions()]
+        return reduce(DataFrame.unionByName, each)
+
 
 def ledger_refs(learning: DataFrame) -> DataFrame:
     """References of the learning records, one row per record and field,

@@ -12,7 +12,7 @@ from millrace.session import checkpoint_dir
 from millrace.sources import tables
 
 #: Stretches of time in which references and parents are handed to the state.
-BATCHES = 4
+BATCHES = 5
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,7 @@ def _orphans(spark: SparkSession, folder: str) -> references.PendingOrphans:
 def _dealt(spark: SparkSession, state: references.PendingOrphans, rows: DataFrame, schema: str) -> DataFrame:
     """rows as a file for each batch."""
     path = state.log.fresh("dealt")
-    rows.repartition("batch", F.pmod(F.xxhash64("ref_key"), F.lit(8))).write.partitionBy("batch").parquet(path)
+    rows.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
     return spark.read.schema(f"{schema}, batch int").parquet(path)
 
 

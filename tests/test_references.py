@@ -108,3 +108,42 @@ def test_queries_read_the_state_of_batches(spark, tmp_path, monkeypatch):
     assert got == sorted(map(tuple, once.select("owner", "seq", "ref_field", "ref_state").collect()), key=repr)
     assert {x[3] for x in got} == {"missing", "late", "deleted"}
     assert sum(r["orphans"] for r in upkeep.p6_by_day(spark, str(tmp_path)).collect()) == len(got)
+
+
+def test_layers_are_merged_and_only_touched_buckets_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "LAYERS", 2)
+    refs, parents = made(11)
+    state = R.PendingOrphans(spark, str(tmp_path / "s"))
+    seen_refs, seen_parents = [], []
+    for k in range(6):
+        some, more = refs[20 * k : 20 * k + 20], parents[k : k + 1] if k < 5 else [("f", "k2", at(99), None), *parents[5:]]
+        seen_refs += some
+        seen_parents += more
+        assert rows(state.batch(*frames(spark, some, more))) == brute(seen_refs, seen_parents)
+        assert len(state.log.latest()[1]["refs"]) <= 2
+    assert rows(state.open()) == brute(seen_refs, seen_parents)
+    assert state.snapshots().groupBy("batch").count().count() == 6
+    # one parent: its bucket only
+    state.batch(*frames(spark, [], [("f", "k1", at(1), None)]))
+    assert state.log.latest()[1]["buckets_read"] == {"refs": 1, "parents": 1}
+    state.batch(*frames(spark, [("f", "k3", "o", 900, at(5))], []))
+    assert state.log.latest()[1]["buckets_read"] == {"refs": 0, "parents": 1}
+
+
+def test_a_batch_that_fails_is_given_again(spark, tmp_path, monkeypatch):
+    state = R.PendingOrphans(spark, str(tmp_path / "s"))
+    state.batch(*frames(spark, [("f", "k", "o", 1, at(10)), ("f", "j", "o", 2, at(10))], []))
+    commit = state.log.commit
+
+    def die(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(state.log, "commit", die)
+    for _ in range(2):
+        try:
+            state.batch(*frames(spark, [("f", "z", "o", 3, at(1))], [("f", "k", at(2), None)]))
+        except RuntimeError:
+            pass
+    monkeypatch.setattr(state.log, "commit", commit)
+    assert rows(state.open()) == {("f", "k", "o", 1, "missing"), ("f", "j", "o", 2, "missing")}
+    assert rows(state.batch(*frames(spark, [("f", "z", "o", 3, at(1))], [("f", "k", at(2), None)]))) == {("f", "j", "o", 2, "missing"), ("f", "z", "o", 3, "missing")}
