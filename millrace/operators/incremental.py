@@ -1,4 +1,4 @@
-"""Processing only new or changed records, between two fixed watermarks."""
+"""Processing only new or changed records, between two fixed marks."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.commitlog import CommitLog
+from millrace.operators.commitlog import CommitConflict, CommitLog
 from millrace.operators.joins import lookup_join
+from millrace.operators.layers import LAYERS, Layers
 
 
 def upper_bound(landings: DataFrame, at: str = "landed_at"):
@@ -57,41 +58,83 @@ def run_marks(runs: DataFrame, feed: str = "branch_id") -> DataFrame:
     return done.groupBy(feed).agg(F.max("read_upto").alias("mark"))
 
 
-class IncrementalReader:
-    """Runs that each take what is new since the last committed one.
+class Feed:
+    """An append-only table in a shared folder whose appends are numbered when
+    they become visible: the commit sequence that readers go by. Whatever
+    times its rows carry, a row appended later has a later number."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.log, self.schema = spark, CommitLog(spark, root), schema
+
+    def append(self, rows: DataFrame) -> int:
+        """Add rows in one commit; its number. Writers may append at once."""
+        path = self.log.fresh("rows")
+        rows.write.parquet(path)
+        while True:
+            try:
+                return self.log.commit(self.last(), {"rows": path})
+            except CommitConflict:
+                continue
+
+    def last(self) -> int:
+        """The newest commit, 0 if there is none."""
+        return self.log.latest()[0]
 
-    A run reads its upper bound when it starts, writes its records to a path
-    of its own, and then commits path and new marks together in one manifest.
-    A run that fails at any point before leaves the marks as they were, so the
-    next takes the same records again; a committed run's records are never
-    taken twice. Of two runs at once only one can commit.
+    def between(self, after: int, upto: int) -> DataFrame:
+        """Rows of the commits after one and up to another; no others are opened."""
+        paths = [self.log.read(v)["rows"] for v in range(after + 1, upto + 1)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+
+class IncrementalReader:
+    """Runs that each take what is new or changed since the last committed one.
+
+    A run fixes its upper bound, the feed's newest commit, when it starts and
+    reads only the commits after its mark. It writes the latest landing of each
+    record in them once, and takes both its output and its new state from that,
+    so a landing that comes meanwhile is in neither. Output, state and mark
+    are committed in one manifest: a run that fails at any point before leaves
+    all as it was, and the next takes the same commits again; of two runs at
+    once only one can commit. The state has, by buckets of (feed, seq), the
+    latest landing of every record seen, so a landing that becomes visible
+    late is still new if its record is, and is no change if a later one was
+    seen. Landings with a null feed, seq, version or time are no records.
     """
 
     def __init__(self, spark: SparkSession, root: str, feed: str = "branch_id", seq: str = "seq", version: str = "event_hash", at: str = "landed_at"):
         self.spark, self.log = spark, CommitLog(spark, root)
-        self.names = {"feed": feed, "seq": seq, "version": version, "at": at}
-
-    def marks(self) -> DataFrame:
-        _, state = self.log.latest()
-        if state:
-            return self.spark.read.parquet(state["marks"])
-        return self.spark.createDataFrame([], f"{self.names['feed']} string, mark timestamp")
-
-    def run(self, landings: DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-        """Take the new records, apply ``transform``, commit; the run's output."""
-        version, _ = self.log.latest()
-        feed, at = self.names["feed"], self.names["at"]
-        upto = upper_bound(landings, at)
-        old = self.marks()
-        fresh = changed_records(landings, old, upto, keep=keep, **self.names)
-        out, marks = self.log.fresh("data"), self.log.fresh("marks")
+        self.feed, self.seq, self.version, self.at = feed, seq, version, at
+
+    def _layers(self, rows: DataFrame, kind: str, columns: list[str]) -> Layers:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
+        return Layers(self.log, kind, [self.feed, self.seq], schema)
+
+    def run(self, landings: Feed | DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Take the new and changed records, apply ``transform``, commit; the
+        run's output. A DataFrame in place of a feed has all landings so far,
+        and is compared with the state as a whole."""
+        number, state = self.log.latest()
+        mark = state.get("upto", 0)
+        upto = landings.last() if isinstance(landings, Feed) else mark
+        rows = landings.between(mark, upto) if isinstance(landings, Feed) else landings
+        names = [self.feed, self.seq, self.version, self.at]
+        for c in names:
+            rows = rows.where(F.col(c).isNotNull())
+        last = rows.groupBy(self.feed, self.seq).agg(F.max(F.struct(self.at, self.version, *keep)).alias("_r")).select(self.feed, self.seq, *[F.col("_r")[c].alias(c) for c in (self.version, self.at, *keep)])
+        frozen, seen = self._layers(last, "last", [*names, *keep]), self._layers(last, "seen", names)
+        path = frozen.write(last)
+        old = seen.read(state.get("seen", []), frozen.touched(path))
+        known = old.groupBy(self.feed, self.seq).agg(F.max(F.struct(self.at, self.version)).alias("_seen"))
+        both = frozen.read([path]).join(known, [self.feed, self.seq], "left")
+        newer = both.where(F.col("_seen").isNull() | (F.struct(self.at, self.version) > F.col("_seen")))
+        fresh = newer.where(F.col("_seen").isNull() | (F.col(f"_seen.{self.version}") != F.col(self.version))).drop("_seen")
+        out = self.log.fresh("data")
         (transform(fresh) if transform else fresh).write.parquet(out)
-        read = landings.where(F.col(feed).isNotNull() & F.col(at).isNotNull() & F.col(self.names["version"]).isNotNull())
-        if upto is not None:
-            read = read.where(F.col(at) <= F.lit(upto))
-        new = read.groupBy(feed).agg(F.max(at).alias("mark"))
-        old.unionByName(new).groupBy(feed).agg(F.max("mark").alias("mark")).write.parquet(marks)
-        self.log.commit(version, {"data": out, "marks": marks, "upto": str(upto)})
+        layers = [*state.get("seen", []), seen.write(newer.select(*names))]
+        if len(layers) > LAYERS:
+            merged = seen.read(layers).groupBy(self.feed, self.seq).agg(F.max(F.struct(self.at, self.version)).alias("_r"))
+            layers = [seen.write(merged.select(self.feed, self.seq, F.col(f"_r.{self.version}").alias(self.version), F.col(f"_r.{self.at}").alias(self.at)))]
+        self.log.commit(number, {"data": out, "seen": layers, "upto": upto, "commits_read": upto - mark})
         return self.spark.read.parquet(out)
 
     def outputs(self) -> list[str]:

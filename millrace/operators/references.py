@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.commitlog import CommitLog
 from millrace.operators.joins import skew_join
+from millrace.operators.layers import LAYERS, Layers
 from millrace.session import use_checkpoints
 
-#: Buckets of the state's keys, and batches after which its layers are merged.
-BUCKETS, LAYERS = 16, 8
-
 REFS = "ref_field string, ref_key string, owner string, seq long, at timestamp"
 PARENTS = "ref_field string, ref_key string, first_at timestamp, gone_at timestamp"
 
@@ -79,17 +77,6 @@ def counts(open_refs: DataFrame) -> DataFrame:
     return open_refs.groupBy("ref_field", F.to_date("at").alias("day"), "ref_state").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-def bucket() -> Column:
-    """The bucket of a row's key."""
-    return F.pmod(F.xxhash64("ref_field", "ref_key"), F.lit(BUCKETS)).cast("int")
-
-
-def write_buckets(rows: DataFrame, path: str) -> None:
-    """Rows as files of their buckets, few where they are small; a bucket that
-    a hot key makes large is split over several tasks and files."""
-    rows.withColumn("bucket", bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
-
-
 class PendingOrphans:
     """The state of ``advance`` in a shared folder.
 
@@ -107,50 +94,35 @@ class PendingOrphans:
     def __init__(self, spark: SparkSession, root: str):
         use_checkpoints(spark)
         self.spark, self.log = spark, CommitLog(spark, root)
+        self.refs, self.parents = (Layers(self.log, kind, ["ref_field", "ref_key"], schema) for kind, schema in (("refs", REFS), ("parents", PARENTS)))
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _layers(self, paths: list[str], schema: str, touched: list[int] | None = None) -> DataFrame:
-        """Rows of all layers, or of some of their buckets. Layers aren't below
-        one folder, so each is read by itself."""
-        each = [self.spark.read.schema(f"{schema}, bucket int").parquet(p) for p in paths]
-        rows = reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], f"{schema}, bucket int")
-        return (rows if touched is None else rows.where(F.col("bucket").isin(touched))).drop("bucket")
-
-    def _buckets(self, path: str) -> list[int]:
-        """The buckets that a layer has."""
-        return [int(n[7:]) for n in self.log.names(path) if n.startswith("bucket=")]
-
     @staticmethod
     def _copies(parents: DataFrame) -> DataFrame:
         return parents.groupBy("ref_field", "ref_key", "first_at").agg(F.max("gone_at").alias("gone_at"))
 
     def batch(self, new_refs: DataFrame, new_parents: DataFrame) -> DataFrame:
         """Take rows into the state; the open orphans after them."""
-        refs_at, parents_at = self.log.fresh("refs"), self.log.fresh("parents")
-        write_buckets(clean_refs(new_refs), refs_at)
-        write_buckets(new_parents, parents_at)
         version, state = self.log.latest()
         open_at, counts_at = self.log.fresh("open"), self.log.fresh("counts")
+        refs_at, parents_at = self.refs.write(clean_refs(new_refs)), self.parents.write(new_parents)
         layers = {"refs": [*state.get("refs", []), refs_at], "parents": [*state.get("parents", []), parents_at]}
-        refs, came = self._layers([refs_at], REFS), self._layers([parents_at], PARENTS)
+        refs, came = self.refs.read([refs_at]), self.parents.read([parents_at])
         if not state:
             after, read = advance(None, None, None, refs, self._copies(came)), {}
         else:
-            theirs = self._buckets(parents_at)
-            due = sorted({*self._buckets(refs_at), *theirs})
-            known = self._copies(self._layers(layers["parents"], PARENTS, due))
-            after = _advance(self._layers(state["refs"], REFS, theirs), known, self.open(), refs, came)
+            theirs = self.parents.touched(parents_at)
+            due = self.parents.touched(refs_at, parents_at)
+            known = self._copies(self.parents.read(layers["parents"], due))
+            after = _advance(self.refs.read(state["refs"], theirs), known, self.open(), refs, came)
             read = {"refs": len(theirs), "parents": len(due)}
         after.write.parquet(open_at)
         found = self._read([open_at], f"{REFS}, ref_state string")
         counts(found).write.parquet(counts_at)
         if len(layers["refs"]) > LAYERS:
-            merged = {kind: self.log.fresh(kind) for kind in layers}
-            write_buckets(self._layers(layers["refs"], REFS), merged["refs"])
-            write_buckets(self._copies(self._layers(layers["parents"], PARENTS)), merged["parents"])
-            layers = {kind: [path] for kind, path in merged.items()}
+            layers = {"refs": [self.refs.write(self.refs.read(layers["refs"]))], "parents": [self.parents.write(self._copies(self.parents.read(layers["parents"])))]}
         self.log.commit(version, {**layers, "open": open_at, "counts": counts_at, "buckets_read": read})
         return found
 

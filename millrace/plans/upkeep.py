@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import incremental, references
+from millrace.operators.joins import lookup_join
 from millrace.session import checkpoint_dir
 from millrace.sources import tables
 
@@ -16,8 +17,18 @@ BATCHES = 5
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """What the next run of the reader takes: its feed has what each branch's
+    last successful run had read in one commit, and what landed since in another."""
     landings, runs = tables(spark, folder, "consumption_ledger", "ingest_runs")
-    found = incremental.changed_records(landings, incremental.run_marks(runs), incremental.upper_bound(landings))
+    rows = landings.select("branch_id", "seq", "event_hash", "landed_at")
+    marked = lookup_join(rows.where(F.col("branch_id").isNotNull()), incremental.run_marks(runs), ["branch_id"])
+    before = F.coalesce(F.col("landed_at") <= F.col("mark"), F.lit(False))
+    root = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    feed = incremental.Feed(spark, f"{root}/feed", "branch_id string, seq long, event_hash string, landed_at timestamp")
+    reader = incremental.IncrementalReader(spark, f"{root}/reader")
+    for part in (before, ~before):
+        feed.append(marked.where(part).drop("mark"))
+        found = reader.run(feed)
     return found.select("branch_id", "seq")
 
 

@@ -79,3 +79,74 @@ def test_only_one_of_two_runs_commits(spark, tmp_path):
     with pytest.raises(CommitConflict):
         log.commit(0, {"x": 2})
     assert log.latest() == (1, {"x": 1})
+
+
+FEED = "branch_id string, seq long, event_hash string, landed_at timestamp, mark string, c string"
+
+
+def taken(df):
+    return {(x["branch_id"], x["seq"], x["event_hash"]) for x in df.collect()}
+
+
+def test_rows_that_become_visible_late_are_taken_once(spark, tmp_path):
+    feed = incremental.Feed(spark, str(tmp_path / "feed"), FEED)
+    reader = incremental.IncrementalReader(spark, str(tmp_path / "reader"))
+    assert reader.run(feed).count() == 0
+    feed.append(frame(spark, [("a", 1, "h1", at(1)), ("a", 2, "h2", at(5))]))
+    assert taken(reader.run(feed)) == {("a", 1, "h1"), ("a", 2, "h2")}
+    # landed before what was read, and at the same instant as its last; an older version of a seen record
+    feed.append(frame(spark, [("a", 3, "h3", at(4)), ("a", 4, "h4", at(5)), ("a", 2, "old", at(3)), ("b", 1, "x", at(0)), ("a", 1, "h1", at(9)), ("a", 5, None, at(9))]))
+    feed.append(frame(spark, [("b", 1, "y", at(0)), ("b", 1, "w", at(0))]))
+    assert taken(reader.run(feed)) == {("a", 3, "h3"), ("a", 4, "h4"), ("b", 1, "y")}
+    assert reader.log.latest()[1]["commits_read"] == 2
+    assert reader.run(feed).count() == 0 and reader.log.latest()[1]["commits_read"] == 0
+    # there and back again is no change
+    feed.append(frame(spark, [("b", 1, "z", at(3)), ("b", 1, "y", at(4))]))
+    assert reader.run(feed).count() == 0
+
+
+def test_a_crash_between_output_and_commit_repeats_nothing(spark, tmp_path, monkeypatch):
+    feed = incremental.Feed(spark, str(tmp_path / "feed"), FEED)
+    reader = incremental.IncrementalReader(spark, str(tmp_path / "reader"))
+    feed.append(frame(spark, [("a", i, f"h{i}", at(i)) for i in range(6)]))
+    commit = reader.log.commit
+
+    def die(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(reader.log, "commit", die)
+    with pytest.raises(RuntimeError):
+        reader.run(feed)
+    monkeypatch.setattr(reader.log, "commit", commit)
+    feed.append(frame(spark, [("a", 9, "h9", at(0))]))
+    assert {s for _, s, _ in taken(reader.run(feed))} == {*range(6), 9}
+    assert reader.run(feed).count() == 0 and len(reader.outputs()) == 2
+
+
+def test_what_lands_during_a_run_waits_for_the_next(spark, tmp_path):
+    feed = incremental.Feed(spark, str(tmp_path / "feed"), FEED)
+    reader = incremental.IncrementalReader(spark, str(tmp_path / "reader"))
+    feed.append(frame(spark, [("a", 1, "h1", at(1))]))
+
+    def meanwhile(df):
+        feed.append(frame(spark, [("a", 2, "h2", at(0))]))
+        return df
+
+    assert taken(reader.run(feed, meanwhile)) == {("a", 1, "h1")}
+    assert taken(reader.run(feed)) == {("a", 2, "h2")}
+
+
+def test_layers_of_the_state_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "LAYERS", 2)
+    r = random.Random(1)
+    feed = incremental.Feed(spark, str(tmp_path / "feed"), FEED)
+    reader = incremental.IncrementalReader(spark, str(tmp_path / "reader"))
+    last = {}
+    for k in range(5):
+        rows = [("a", r.randrange(12), r.choice("xyz"), at(r.randrange(40))) for _ in range(8)]
+        feed.append(frame(spark, rows))
+        before = {k: v[1] for k, v in last.items()}
+        for b, s, h, t in rows:
+            last[b, s] = max(last.get((b, s), (at(-1), "")), (t, h))
+        assert taken(reader.run(feed)) == {(*k, v[1]) for k, v in last.items() if before.get(k) != v[1]}
+        assert len(reader.log.latest()[1]["seen"]) <= 2
