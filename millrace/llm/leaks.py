@@ -68,6 +68,11 @@ def letters_at(text: str) -> tuple[str, list[int]]:
 
     def add(piece: str, start: int, step: int) -> None:
         for i, c in enumerate(piece):
+            if c.isascii():
+                if c.isalnum():
+                    out.append(c.lower())
+                    at.append(start + i * step)
+                continue
             for x in _other.sub("", unicodedata.normalize("NFKD", c).casefold()):
                 out.append(x)
                 at.append(start + i * step)
@@ -101,8 +106,7 @@ class Item:
         self.width = NARROW if self.unspaced else WIDE
         self.step = NARROW_STEP if self.unspaced else WIDE_STEP
         self._pieces: dict[str, list[int]] | None = None
-        self.written = canary or ""
-        mark = letters(self.written)
+        self.written = mark = letters(canary or "")
         self.canary = re.compile(r"(?<![^\W_])" + r"[\W_]*".join(map(re.escape, mark)) + r"(?![^\W_])") if mark else None
 
     def pieces(self) -> tuple[int, dict[str, list[int]]]:
@@ -118,10 +122,11 @@ class Item:
         """Hashes of all windows of the text, in order."""
         return hashes(self.text)[0 if self.unspaced else 1]
 
-    def mark(self) -> int | None:
-        """Hash of the canary's last letters; None if it is too short for one."""
-        ends = hashes(letters(self.written))
-        return int(ends[1][-1]) if len(ends[1]) else int(ends[0][-1]) if len(ends[0]) else None
+    def mark(self) -> tuple[bool, int] | None:
+        """Whether a wide window ends the canary, and the hash of the window
+        that does; None if the canary is too short for one."""
+        narrow, wide = hashes(self.written)
+        return (True, int(wide[-1])) if len(wide) else (False, int(narrow[-1])) if len(narrow) else None
 
     def most_gone(self) -> int:
         """Words that a passage can have replaced, at most."""
@@ -182,6 +187,9 @@ def _top(h: np.ndarray) -> np.ndarray:
     return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
 
 
+_NONE = (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32))
+
+
 class _Table:
     """Sorted hashes with the number of their item and their place in it,
     behind a table of bits."""
@@ -199,7 +207,9 @@ class _Table:
 
     def hits(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the probe, item and place in the item of all that are there."""
-        at = np.flatnonzero(self.there[probes >> self.shift]) if len(self.hash) else np.empty(0, np.int64)
+        at = np.flatnonzero(self.there[probes >> self.shift]) if len(self.hash) else _NONE[0]
+        if not len(at):
+            return _NONE
         wanted = probes[at]
         low = np.searchsorted(self.hash, wanted, "left")
         many = np.searchsorted(self.hash, wanted, "right") - low
@@ -213,16 +223,16 @@ class Probe:
     text is probed with. Nothing of the items' texts is in it.
 
     entries: item id, windows needed, whether it is of a script without
-    spaces, indexed windows, their places, hash of the canary's last letters,
-    and how many words of the item can be replaced at most.
+    spaces, indexed windows, their places, width and hash of the window
+    that ends the canary, and how many words of the item can be replaced at most.
     """
 
-    def __init__(self, entries: list[tuple[int, int, bool, np.ndarray, np.ndarray, int | None, int]]):
+    def __init__(self, entries: list[tuple[int, int, bool, np.ndarray, np.ndarray, tuple[bool, int] | None, int]]):
         self.ids, self.need = [e[0] for e in entries], np.array([e[1] for e in entries], np.int64)
         self.shift = np.array([APART * (e[6] + 1) for e in entries], np.int64)
         numbered = list(enumerate(entries))
         self.wide, self.narrow = (_Table([(i, e[3], e[4]) for i, e in numbered if e[2] == kind and len(e[3])]) for kind in (False, True))
-        self.marks = _Table([(i, np.array([e[5]], np.uint32), np.zeros(1, np.int32)) for i, e in numbered if e[5] is not None])
+        self.narrow_marks, self.wide_marks = (_Table([(i, np.array([e[5][1]], np.uint32), np.zeros(1, np.int32)) for i, e in numbered if e[5] and e[5][0] == kind]) for kind in (False, True))
 
     def candidates(self, flat: str) -> dict[int, tuple[list[int], bool]]:
         """item id -> places of the probes that hit, for items with enough of
@@ -239,8 +249,9 @@ class Probe:
                 at, item, place = table.hits(probes)
                 if len(at):
                     found.append((item, at + begin, place))
-            for probes in (narrow[:PROBED], wide):
-                marked.update(self.marks.hits(probes)[1].tolist())
+            for table, probes in ((self.narrow_marks, narrow[:PROBED]), (self.wide_marks, wide)):
+                if len(table.hash):
+                    marked.update(table.hits(probes)[1].tolist())
         out: dict[int, tuple[list[int], bool]] = {}
         if found:
             item, at, place = (np.concatenate(c) for c in zip(*found))
@@ -309,7 +320,9 @@ def passage(item: Item, text: str, hits: list[int], need: int, begins: Callable[
         chains = _chain(blocks)
         found = _best_run(item, chains)
         if found is None or found[0] < item.words:
-            found = _best_run(item, [_filled(item, text, c, begins) for c in chains])
+            # the windows that every passage hits cover so many letters of its chain
+            enough = item.width + item.step * (need - 1)
+            found = _best_run(item, [_filled(item, text, c, begins) for c in chains if sum(n for _, _, n in c) >= enough])
         if found and (best is None or found[0] > best[0]):
             best = found
     return best
@@ -484,15 +497,15 @@ def _entries(items: DataFrame) -> DataFrame:
                 common = np.zeros(max(0, len(item.text) - item.width + 1), bool)
                 common[places or []] = True
                 need, at = item.indexed(common)
-                out.append((item_id, need, item.unspaced, item.windows()[at].tolist(), at.tolist(), item.mark(), item.most_gone(), len((text or "").encode("utf-8", "replace"))))
-            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64()]
+                out.append((item_id, need, item.unspaced, item.windows()[at].tolist(), at.tolist(), item.mark() and list(map(int, item.mark())), item.most_gone(), len((text or "").encode("utf-8", "replace"))))
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["item_id", "need", "unspaced", "windows", "at", "mark", "gone", "bytes"])
 
     all_windows = items.mapInArrow(windows, "item_id long, windows array<long>")
     common = all_windows.select(F.explode(F.array_distinct("windows")).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON).select("h")
     places = all_windows.select("item_id", F.posexplode("windows").alias("place", "h")).join(common, "h").groupBy("item_id").agg(F.collect_list("place").alias("places"))
     named = items.join(places, "item_id", "left").select("item_id", "text", "canary", "places")
-    return named.mapInArrow(entries, "item_id long, need int, unspaced boolean, windows array<long>, at array<int>, mark long, gone int, bytes long")
+    return named.mapInArrow(entries, "item_id long, need int, unspaced boolean, windows array<long>, at array<int>, mark array<long>, gone int, bytes long")
 
 
 def _probes(items: DataFrame) -> Iterator[Probe]:
@@ -504,7 +517,7 @@ def _probes(items: DataFrame) -> Iterator[Probe]:
         if rows and size + r["bytes"] > BLOCK_BYTES:
             yield Probe(rows)
             rows, size = [], 0
-        rows.append((r["item_id"], r["need"], r["unspaced"], np.array(r["windows"], np.uint32), np.array(r["at"], np.int32), r["mark"], r["gone"]))
+        rows.append((r["item_id"], r["need"], r["unspaced"], np.array(r["windows"], np.uint32), np.array(r["at"], np.int32), (bool(r["mark"][0]), r["mark"][1]) if r["mark"] else None, r["gone"]))
         size += r["bytes"]
     if rows:
         yield Probe(rows)
@@ -592,7 +605,7 @@ def _verified(item: Item, text: str, flat: str, hits: list[int], need: int, mark
     if hits and (hit := passage(item, flat, hits, need, begins)):
         exact = exact or letters_at(text)[1]
         yield "passage", hit[0], item.words, exact[hit[1]], exact[hit[2] - 1] + 1
-    if marked and item.canary:
+    if marked and item.canary and item.written in flat:
         plain, at = _folded(text)
         if m := item.canary.search(plain):
             yield "canary", None, item.words, at[m.start()], at[m.end() - 1] + 1
