@@ -1,13 +1,11 @@
-"""Queries over the learning ledger, decisions and evidence."""
+"""Queries over the learning ledger and decisions."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from millrace.operators import ledger, learning
-from millrace.plans.ledgers import MB, PER_STEP
+from millrace.plans.ledgers import MB
 from millrace.sources import table
 
 
@@ -106,25 +104,6 @@ def proxy_health(spark, folder):
     return ends.select("branch_id", "steps", F.round(ratio, 6).alias("ratio"), verdict.alias("verdict"))
 
 
-def evidence(spark, folder):
-    """The checks, each a yes or no with its counts, over the ledgers."""
-    report = ledger.integrity(_mb(spark, folder), PER_STEP)
-    chain = ledger.chain_report(ledger.current(table(spark, folder, "consumption_ledger")))
-    walk = completion_walk(spark, folder)
-    hash_ok = table(spark, folder, "checkpoints").groupBy("branch_id").agg(F.countDistinct("tokenizer_hash").alias("n"))
-    check = lambda df, name, bad: df.agg(F.lit(name).alias("check"), F.coalesce(F.sum(bad), F.lit(0)).cast("long").alias("bad"), F.count(F.lit(1)).alias("branches"))
-    rows = [
-        check(report, "no_duplicates", F.col("duplicates")),
-        check(report, "no_gaps", F.col("missing_steps")),
-        check(report, "steps_complete", F.col("incomplete_steps")),
-        check(chain, "chains_whole", F.col("hash") + F.col("link") + F.col("gap")),
-        check(walk, "decisions_known", F.col("no_decision")),
-        check(walk, "learning_known", F.col("no_learning")),
-        check(hash_ok, "one_tokenizer", (F.col("n") > 1).cast("int")),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), rows).select("check", "bad", "branches", (F.col("bad") == 0).alias("passed"))
-
-
 SAMPLES = """
 with smp as (select branch_id, seq, payload.* from (select *, row_number() over (partition by branch_id, seq order by landed_at desc nulls last, event_hash desc nulls last) k from learning_ledger
     where type = 'sample_learning' and branch_id is not null and seq is not null) where k = 1)
@@ -172,4 +151,4 @@ select branch_id, count(*) rescored, count(*) filter (s > 1) other_score, count(
 e as (select branch_id, count(*) steps, case when arg_min(m, step) <> 0 then arg_max(m, step) / arg_min(m, step) end r from s group by 1)
 select branch_id, steps, round(r, 6) ratio, case when r < 0.35 then 'collapsed' when r > 2.5 then 'inflated' when r is null then 'unknown' else 'steady' end verdict from e""",
 }
-QUERIES = {name: globals()[name] for name in ORACLES} | {"evidence": evidence}
+QUERIES = {name: globals()[name] for name in ORACLES}
