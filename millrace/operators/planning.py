@@ -59,12 +59,12 @@ def ordered_hash(rows: DataFrame, keys: list[str], number: str, value: str, widt
     return parts.groupBy(*keys).agg(F.substring(F.sha2(joined("_part", "_h"), 256), 1, 16).alias("plan_hash"), F.sum("n").alias("n"))
 
 
-def select(candidates: DataFrame, keys: list[str], protected: tuple[str, ...]) -> DataFrame:
+def select(candidates: DataFrame, keys: list[str], protected: tuple[str, ...], content: str = "candidate_id") -> DataFrame:
     """Status and reason of every candidate of a group.
 
     candidates: keys (with lane), candidate_id, score, matches (of the stage),
-    quota. The median score is the bar. Of equal candidates the best stays,
-    others are rejected. Those that match the stage and clear the bar are
+    quota. The median score is the bar. Of candidates with equal ``content``
+    the best stays, others are rejected. Those that match the stage and clear the bar are
     taken on merit up to the quota; what is missing is filled in order of
     score, matching ones first; of the rest, mismatches of lanes that aren't
     protected are rejected and all others deferred. Scores are ranked rounded
@@ -74,7 +74,7 @@ def select(candidates: DataFrame, keys: list[str], protected: tuple[str, ...]) -
     rows = candidates.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).withColumn("_s", F.round("score", 6))
     order = [F.desc_nulls_last("_s"), F.asc("candidate_id")]
     bar = rows.groupBy(*keys).agg(F.percentile("score", F.lit(0.5)).alias("bar"))
-    first = Window.partitionBy(*keys, "candidate_id").orderBy(F.desc_nulls_last("_s"))
+    first = Window.partitionBy(*keys, content).orderBy(F.desc_nulls_last("_s"), "candidate_id")
     one = rows.join(bar, keys).withColumn("_copy", F.row_number().over(first) > 1)
     kept = one.where(~F.col("_copy")).withColumn("_clear", F.col("matches") & F.coalesce(F.col("score") >= F.col("bar"), F.lit(False)))
     group = Window.partitionBy(*keys)

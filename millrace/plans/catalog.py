@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import audits, corpus, learned, ledgers, misc, mixes, packs, upkeep
+from millrace.plans import audits, corpus, learned, ledgers, made, misc, mixes, packs, upkeep
 from millrace.plans.result_types import typed
 
-MODULES = (upkeep, corpus, packs, mixes, ledgers, learned, misc, audits)
+MODULES = (upkeep, corpus, packs, mixes, ledgers, learned, misc, audits, made)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: typed(name, sql) for module in MODULES for name, sql in module.ORACLES.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing, text, tokens
-from millrace.operators import ledger, packing
+from millrace.operators import ledger
 from millrace.plans.ledgers import MB
 from millrace.sources import table
 from millrace.streaming import ledger as streams
@@ -45,13 +45,6 @@ def replay_plan_match(spark, folder):
     return first.groupBy("branch_id").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("first") == F.col("last")).alias("same"))
 
 
-def token_trace(spark, folder):
-    """Graded and other tokens of every role, and how many begin a span."""
-    spans = packing.layout(table(spark, folder, "documents"))
-    size = F.col("tok_end") - F.col("tok_start")
-    return spans.groupBy("role", "graded").agg(F.count(F.lit(1)).alias("spans"), F.sum(size).alias("tokens"), F.max(size).alias("longest"))
-
-
 def build_fingerprint(spark, folder):
     """What a build depends on, as names and hashes that two builds can compare."""
     s, m = table(spark, folder, "sources"), table(spark, folder, "stage_mixture")
@@ -91,4 +84,4 @@ from (select distinct sample_id, seg_no, doc_id, shard_id, lane from segments) s
     "build_fingerprint": """select 'sources' as name, count(*) "rows", sha256(string_agg(l, chr(10) order by l)) hash from (select source_id || '|' || lane || '|' || coalesce(licence_tier, '-') || '|' || coalesce(contamination_status, '-') l from sources)
 union all select 'mixture', count(*), sha256(string_agg(l, chr(10) order by l)) from (select stage || '|' || lane || '|' || sequence_length l from stage_mixture)""",
 }
-QUERIES = {f.__name__: f for f in (bpe_encode, fertility_by_lang, pretokens, merkle_root, derive_seed, replay_plan_match, token_trace, build_fingerprint, span_lookup, event_stream)}
+QUERIES = {f.__name__: f for f in (bpe_encode, fertility_by_lang, pretokens, merkle_root, derive_seed, replay_plan_match, build_fingerprint, span_lookup, event_stream)}
