@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators.joins import lookup_join
+from millrace.operators.joins import is_small, lookup_join
 
 OVERLAP = 0.55
 
@@ -38,12 +38,10 @@ def gram_hits(documents: DataFrame, items: DataFrame, threshold: float = OVERLAP
     The items' runs are joined as hashes; if their measured size allows they
     are broadcast, and then only runs that hit are ever moved.
     """
-    runs = items.where(F.col("text").isNotNull()).select("item_id", text.grams().alias("g"))
-    known = runs.select("item_id", F.size("g").alias("_n"), F.explode("g").alias("g")).select(F.xxhash64("g").alias("_h"), "item_id", "_n")
+    runs = items.where(F.col("text").isNotNull()).select("item_id", text.gram_hashes().alias("g"))
+    known = runs.select("item_id", F.size("g").alias("_n"), F.explode("g").alias("_h")).select("_h", "item_id", "_n")
     # the outer form, as the plain one would take the text apart once more to filter
-    mine = documents.where(F.col("text").isNotNull()).select("doc_id", F.explode_outer(text.grams()).alias("g")).select("doc_id", F.xxhash64("g").alias("_h"))
-    from millrace.operators.joins import is_small
-
+    mine = documents.where(F.col("text").isNotNull()).select("doc_id", F.explode_outer(text.gram_hashes()).alias("_h"))
     hits = mine.join(F.broadcast(known) if is_small(known) else known, "_h")
     pairs = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.max("_n").alias("_n"))
     ratio = F.col("matched") / F.col("_n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.windows import running_sum
+from millrace.session import kept
 
 MICROBATCH = (
     "run_id string, branch_id string, global_step int, checkpoint_id string, rank int, microbatch_id string, batch_id string, plan_hash string, curriculum_stage string, sequence_length long, "
@@ -91,6 +92,26 @@ def chain_report(records: DataFrame) -> DataFrame:
     return total.join(bad, "branch_id", "left").na.fill(0, ["hash", "link", "gap"])
 
 
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(branch_id, ancestor, depth) of all ancestors, however far up.
+
+    parents: branch_id, parent, one row per branch; a null parent is none.
+    Each round joins the relation with itself, so it reaches twice as far: a
+    chain of a thousand takes ten. Branches that are their own ancestor raise
+    an error.
+    """
+    reach = kept(parents.where(F.col("parent").isNotNull()).select("branch_id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")))
+    far = 1
+    while True:
+        top = reach.where(F.col("depth") == far)
+        more = kept(top.join(reach.select(F.col("branch_id").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d")), "ancestor").select("branch_id", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth")))
+        if more.isEmpty():
+            return reach.select("branch_id", "ancestor", F.col("depth").cast("int").alias("depth"))
+        if not more.where(F.col("branch_id") == F.col("ancestor")).isEmpty():
+            raise ValueError("a branch is its own ancestor")
+        reach, far = kept(reach.unionByName(more)), far * 2
+
+
 def integrity(mb: DataFrame, per_step: int) -> DataFrame:
     """Per branch: microbatches, those served twice, steps that are missing or
     not complete, and token sums with utilisation and loss density."""

@@ -30,10 +30,11 @@ def layout(documents: DataFrame) -> DataFrame:
     return placed.where("n > 0").select("doc_id", "role", "graded", "tok_start", "tok_end").unionByName(last)
 
 
-def items(documents: DataFrame) -> DataFrame:
+def items(documents: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """(doc_id, lane, size, points, min_context, reserved): what is packed;
-    points are the places where role spans begin, but for the first token."""
-    spans = layout(documents).groupBy("doc_id").agg(F.max("tok_end").alias("size"), F.array_sort(F.collect_set(F.when(F.col("tok_start") > 1, F.col("tok_start")))).alias("points"))
+    points are the places where role spans begin, but for the first token.
+    ``placed`` is the documents' layout if it is there already."""
+    spans = (layout(documents) if placed is None else placed).groupBy("doc_id").agg(F.max("tok_end").alias("size"), F.array_sort(F.collect_set(F.when(F.col("tok_start") > 1, F.col("tok_start")))).alias("points"))
     own = documents.select("doc_id", "lane", F.coalesce("min_context", F.lit(0)).alias("min_context"), F.coalesce("reserved", F.lit(False)).alias("reserved"))
     return own.join(spans, "doc_id").select("doc_id", "lane", F.col("size").cast("int").alias("size"), "points", "min_context", "reserved")
 
@@ -47,7 +48,7 @@ def concat_chop(rows: DataFrame, capacity: int) -> DataFrame:
     """(lane, window, doc_id, offset, length, window_start): each lane's
     documents, in order of their id, as one stream cut into windows. Where a
     document lies follows from the sum of the sizes before it."""
-    placed = running_sum(rows.select("lane", "doc_id", F.col("size").cast("long").alias("size")), ["lane"], ["doc_id"], "size", "to")
+    placed = running_sum(rows.select("lane", "doc_id", F.col("size").cast("long").alias("size")), ["lane"], ["doc_id"], "size", "to", width=None)
     begin = F.col("to") - F.col("size")
     first, last = F.floor(begin / capacity), F.floor((F.col("to") - 1) / capacity)
     cut = placed.where("size > 0").select("lane", "doc_id", begin.alias("begin"), "to", F.explode(F.sequence(first, last)).alias("window"))
@@ -136,7 +137,7 @@ def fitted(rows: DataFrame, capacity: int, rule: Callable, longest_first: bool,
     Such a rule is sequential, so a lane is packed in parts of ``part_rows``
     documents in order of their id; windows are numbered within a part.
     """
-    numbered = running_sum(rows.withColumn("_one", F.lit(1).cast("long")), ["lane"], ["doc_id"], "_one", "_place")
+    numbered = running_sum(rows.withColumn("_one", F.lit(1).cast("long")), ["lane"], ["doc_id"], "_one", "_place", width=None)
     parted = numbered.select("lane", F.floor((F.col("_place") - 1) / part_rows).alias("part"), "doc_id", "size", "points")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import lookup_join
 from millrace.operators.windows import running_sum
 
-#: Hashes are cut into this many stretches when a lane is ordered.
-STRETCHES = 64
-
 
 def shuffle_index(samples: DataFrame, seed: str) -> DataFrame:
     """(lane, sample_id, place): an order of each lane's samples that the seed
@@ -17,7 +15,7 @@ def shuffle_index(samples: DataFrame, seed: str) -> DataFrame:
     that holds most samples is no single task's."""
     h = F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "lane", "sample_id"), 256), 1, 12)
     rows = samples.select("lane", "sample_id").distinct().withColumn("_h", F.conv(h, 16, 10).cast("long")).withColumn("_one", F.lit(1).cast("long"))
-    out = running_sum(rows, ["lane"], ["_h", "sample_id"], "_one", "place", width=float((1 << 48) // STRETCHES))
+    out = running_sum(rows, ["lane"], ["_h", "sample_id"], "_one", "place", width=None)
     return out.select("lane", "sample_id", (F.col("place") - 1).alias("place"))
 
 
@@ -31,7 +29,7 @@ def draws(cursor: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """The samples that each step is offered, going round its lane's stream
     again where it ends; pass counts the rounds."""
     size = index.groupBy("lane").agg(F.count(F.lit(1)).alias("_n"))
-    each = cursor.join(F.broadcast(size), "lane").where("pool > 0").select(*keys, "step", "_n", F.explode(F.sequence("cursor", F.col("cursor") + F.col("pool") - 1)).alias("_at"))
+    each = lookup_join(cursor, size, ["lane"], "inner").where("pool > 0").select(*keys, "step", "_n", F.explode(F.sequence("cursor", F.col("cursor") + F.col("pool") - 1)).alias("_at"))
     return each.withColumn("place", F.col("_at") % F.col("_n")).withColumn("pass", F.floor(F.col("_at") / F.col("_n"))).join(index, ["lane", "place"]).select(*keys, "step", (F.col("_at")).alias("draw"), "sample_id", "pass")
 
 

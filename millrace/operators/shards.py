@@ -45,7 +45,7 @@ def build_shards(documents: DataFrame, size: int = DOCS_PER_SHARD) -> DataFrame:
     token for each word and two for its ends.
     """
     sized = documents.select("source", "doc_id", (F.coalesce(text.word_count(), F.lit(0)) + 2).cast("long").alias("n"), F.lit(1).cast("long").alias("_one"))
-    placed = running_sum(sized, ["source"], ["doc_id"], "_one", "_place").withColumn("part", F.floor((F.col("_place") - 1) / size))
+    placed = running_sum(sized, ["source"], ["doc_id"], "_one", "_place", width=None).withColumn("part", F.floor((F.col("_place") - 1) / size))
     part = Window.partitionBy("source", "part")
     run = part.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     names = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id").over(part)), lambda d: d.cast("string")), ",")
@@ -65,8 +65,8 @@ def manifests(spans: DataFrame) -> DataFrame:
 def gate(shards: DataFrame, sources: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """Every shard with all reasons against it, sorted; admitted if none.
 
-    shards: shard_id, source, token_count. Without ``status`` a source's own
-    contamination status is taken.
+    shards: shard_id, source, token_count and, optionally, tokenizer_hash.
+    Without ``status`` a source's own contamination status is taken.
     """
     own = sources.select(F.col("source_id").alias("source"), "lane", "licence_tier", "cleaning_pipeline", "never_train", "held_out", "loss_bearing", "contamination_status")
     rows = lookup_join(shards, own, ["source"])
@@ -75,7 +75,10 @@ def gate(shards: DataFrame, sources: DataFrame, status: DataFrame | None = None)
     else:
         rows = rows.withColumn("status", F.col("contamination_status"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    hashed = F.col("tokenizer_hash") if "tokenizer_hash" in shards.columns else F.lit("-")
+    # The reasons' names.
     reasons = F.array(
+        F.when(F.coalesce(hashed, F.lit("")) == "", "tokenizer_hash_missing"),
         F.when(F.coalesce("token_count", F.lit(0)) <= 0, "shard_has_no_tokens"),
         F.when(~F.coalesce(F.col("licence_tier").isin(*TIERS), F.lit(False)), "licence_tier_not_trainable"),
         F.when(F.coalesce("cleaning_pipeline", F.lit("")) == "", "cleaning_lineage_unknown"),

@@ -5,18 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import lookup_join
 
-def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, width: float = 4096, stretch: Column | None = None) -> DataFrame:
+#: Rows that a stretch should hold.
+STRETCH_ROWS = 4096
+
+
+def stretches(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with ``_stretch``: stretches of the order that hold about
+    STRETCH_ROWS rows each, however far apart the numbers of a group lie. The
+    groups' ranges and sizes, a row per group, are read first."""
+    span = rows.groupBy(*keys).agg(F.min(order).alias("_lo"), F.greatest(F.lit(1.0), (F.max(order).cast("double") - F.min(order)) / F.count(F.lit(1)) * STRETCH_ROWS).alias("_width"))
+    joined = lookup_join(rows, span, keys)
+    return joined.withColumn("_stretch", F.floor((F.col(order).cast("double") - F.col("_lo")) / F.col("_width"))).drop("_lo", "_width")
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, width: float | None = 4096, stretch: Column | None = None) -> DataFrame:
     """``out``: the sum of ``value`` over the group's rows up to and with each.
 
     Rows are ordered by ``order``, whose first column is a number and should
     make, with the others, a total order. The group is cut into stretches of
     that number; sums of whole stretches are carried over, so that a task
-    orders one stretch only. Another ``stretch`` can be given; it must follow
-    the order. Null values count as 0.
+    orders one stretch only. ``width`` suits numbers that follow each other
+    closely; with None it follows from each group's range and size. Another
+    ``stretch`` can be given; it must follow the order. Null values count as 0.
     """
     amount = F.coalesce(F.col(value), F.lit(0))
-    cut = rows.withColumn("_stretch", F.floor(F.col(order[0]) / width) if stretch is None else stretch)
+    if width is None and stretch is None:
+        cut = stretches(rows, keys, order[0])
+    else:
+        cut = rows.withColumn("_stretch", F.floor(F.col(order[0]) / width) if stretch is None else stretch)
     sums = cut.groupBy(*keys, "_stretch").agg(F.sum(amount).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*keys, "_stretch", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))

@@ -27,12 +27,14 @@ def content_hash(spark, folder):
 
 
 def corpus_hash(spark, folder, width: int = 1000):
-    """One hash of all texts: of the hashes of stretches of ids, in order."""
+    """One hash of all texts: of the hashes of stretches of ids, in order, and
+    of the hashes of a thousand of those."""
     line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce(F.sha2("text", 256), F.lit("")))
     rows = _docs(spark, folder).select(F.floor(F.col("doc_id") / width).alias("part"), "doc_id", line.alias("line"))
     joined = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: s[value]), "\n")
     parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sha2(joined("doc_id", "line"), 256).alias("h"))
-    return parts.agg(F.sum("n").alias("documents"), F.sha2(joined("part", "h"), 256).alias("corpus_hash"))
+    over = parts.withColumn("top", F.floor(F.col("part") / width)).groupBy("top").agg(F.sum("n").alias("n"), F.sha2(joined("part", "h"), 256).alias("h"))
+    return over.agg(F.sum("n").alias("documents"), F.sha2(joined("top", "h"), 256).alias("corpus_hash"))
 
 
 def normalize_text(spark, folder):
@@ -66,8 +68,8 @@ def source_registry(spark, folder):
 def training_text_stats(spark, folder):
     """Texts of sources that aren't held out, per lane."""
     d, s = tables(spark, folder, "documents", "sources")
-    held = s.where(F.coalesce("held_out", F.lit(False)) | F.coalesce("never_train", F.lit(False))).select(F.col("source_id").alias("source"))
-    return d.join(F.broadcast(held), "source", "left_anti").groupBy("lane").agg(F.count("text").alias("texts"), F.sum(F.length("text")).alias("chars"), F.sum(text.word_count()).alias("words"))
+    held = s.where(F.coalesce("held_out", F.lit(False)) | F.coalesce("never_train", F.lit(False))).select(F.col("source_id").alias("source"), F.lit(True).alias("_held")).distinct()
+    return lookup_join(d, held, ["source"]).where(F.col("_held").isNull()).groupBy("lane").agg(F.count("text").alias("texts"), F.sum(F.length("text")).alias("chars"), F.sum(text.word_count()).alias("words"))
 
 
 def role_spans(spark, folder):
@@ -208,8 +210,9 @@ ORACLES = {
     "word_counts": f"select doc_id, len({_W}) words from documents where text is not null",
     "word_freq": f"select word, count(*) n from (select unnest({_W}) word from documents) group by 1",
     "content_hash": "select doc_id, sha256(text) content_hash from documents",
-    "corpus_hash": """with p as (select doc_id // 1000 part, count(*) n, sha256(string_agg(doc_id || ':' || coalesce(sha256(text), ''), chr(10) order by doc_id)) h from documents group by 1)
-select sum(n) documents, sha256(string_agg(h, chr(10) order by part)) corpus_hash from p""",
+    "corpus_hash": """with p as (select doc_id // 1000 part, count(*) n, sha256(string_agg(doc_id || ':' || coalesce(sha256(text), ''), chr(10) order by doc_id)) h from documents group by 1),
+o as (select part // 1000 top, sum(n) n, sha256(string_agg(h, chr(10) order by part)) h from p group by 1)
+select sum(n) documents, sha256(string_agg(h, chr(10) order by top)) corpus_hash from o""",
     "normalize_text": r"select doc_id, regexp_replace(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x{feff}\x{ad}\x{2060}\x{200b}\x{200e}\x{200f}]', '', 'g')), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^"
     + _STRIP + "+|" + _STRIP + "+$', '', 'g') || chr(10) normal from documents",
     "script_of": r"""with c as (select doc_id, len(regexp_extract_all(text, '[\x{980}-\x{9FF}]')) b, len(regexp_extract_all(text, '[\x{900}-\x{97F}]')) d, len(regexp_extract_all(text, '[\x{A80}-\x{AFF}]')) g,

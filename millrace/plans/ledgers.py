@@ -67,13 +67,7 @@ def _lineage(spark, folder) -> DataFrame:
 
 def lineage(spark, folder):
     """Every branch with each of its ancestors and their distance."""
-    _lineage(spark, folder).createOrReplaceTempView("millrace_branches")
-    return spark.sql("""
-        with recursive up(branch_id, ancestor, depth) as (
-          select branch_id, parent, 1 from millrace_branches where parent is not null
-          union all
-          select u.branch_id, b.parent, u.depth + 1 from up u join millrace_branches b on b.branch_id = u.ancestor where b.parent is not null and u.depth < 90)
-        select branch_id, ancestor, depth from up""")
+    return ledger.ancestors(_lineage(spark, folder))
 
 
 def shared_steps(spark, folder):

@@ -11,32 +11,32 @@ from millrace.operators import mixture, packing, planning, samples, shards
 from millrace.operators.joins import lookup_join
 from millrace.plans import corpus, mixes, packs
 from millrace.plans.packs import CAPACITY
+from millrace.session import kept
 from millrace.sources import table, tables
 
 
-def _chopped(documents):
-    return packing.concat_chop(packing.items(documents), CAPACITY)
+def _made(spark, folder):
+    """The documents' windows and their layout."""
+    placed = packs.layout(spark, folder)
+    return packing.concat_chop(packs._items(spark, folder, placed), CAPACITY), placed
 
 
 def token_trace(spark, folder):
     """The positions that are learnt from, by lane and role."""
-    d = table(spark, folder, "documents")
-    rows = samples.targets(_chopped(d), packing.layout(d))
+    rows = samples.targets(*_made(spark, folder))
     return rows.groupBy("lane", "role").agg(F.count(F.lit(1)).alias("targets"), F.sum("position").alias("positions"), F.min("position").alias("first"), F.max("position").alias("last"))
 
 
 def sample_arrays(spark, folder):
     """Hashes of each window's arrays, and how many positions are learnt from."""
-    d = table(spark, folder, "documents")
-    made = samples.arrays(_chopped(d), packing.layout(d), CAPACITY)
+    made = samples.arrays(*_made(spark, folder), CAPACITY)
     digest = lambda c: F.substring(F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256), 1, 16)
     return made.select("lane", "window", digest("segment_ids").alias("segments_hash"), digest("position_ids").alias("positions_hash"), digest("loss_mask").alias("mask_hash"), F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, m: a + m).alias("loss"))
 
 
 def array_rules(spark, folder):
     """Windows by the rules that their arrays break."""
-    d = table(spark, folder, "documents")
-    rows = samples.array_problems(samples.arrays(_chopped(d), packing.layout(d), CAPACITY), CAPACITY)
+    rows = samples.array_problems(samples.arrays(*_made(spark, folder), CAPACITY), CAPACITY)
     return rows.groupBy(F.array_join("problems", ",").alias("problems")).agg(F.count(F.lit(1)).alias("windows"))
 
 
@@ -45,7 +45,7 @@ def holdout_windows(spark, folder):
     d, s = tables(spark, folder, "documents", "sources")
     held = s.where(F.coalesce("held_out", F.lit(False))).select(F.col("source_id").alias("source"), F.lit(True).alias("_held")).distinct()
     own = lookup_join(d, held, ["source"], "inner").drop("_held")
-    w = _chopped(own).groupBy("lane", "window").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("segments"))
+    w = packing.concat_chop(kept(packing.items(own)), CAPACITY).groupBy("lane", "window").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("segments"))
     return w.groupBy("lane").agg(F.count(F.lit(1)).alias("windows"), F.sum("used").alias("used"), F.sum("segments").alias("segments"))
 
 
@@ -68,8 +68,7 @@ def reserve_list(spark, folder):
     """Reserved documents that the contexts which unlock them may pack."""
     d, m = tables(spark, folder, "documents", "stage_mixture")
     most = m.where(F.col("stage") == samples.STAGES[-1]).agg(F.max("sequence_length").alias("n")).first()["n"] or 0
-    kept = d.where(F.coalesce("reserved", F.lit(False)) & (F.coalesce("min_context", F.lit(0)) <= most))
-    return kept.select("doc_id", "lane", "shard_id")
+    return d.where(F.coalesce("reserved", F.lit(False)) & (F.coalesce("min_context", F.lit(0)) <= most)).select("doc_id", "lane", "shard_id")
 
 
 def planned_by_lane(spark, folder):

@@ -173,11 +173,13 @@ def proxy_direction(spark, folder):
 
 def proxy_score(spark, folder):
     """How well each vector lies in the direction of the mean of all."""
-    e = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    mean = e.groupBy("i").agg(F.avg("x").alias("m"))
-    norm = mean.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm")).first()["norm"]
-    dots = e.join(F.broadcast(mean), "i").groupBy("vec_id").agg(F.sum(F.col("x") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    return dots.select("vec_id", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("len") * F.lit(norm)), F.lit(0.0)), 6).alias("score"))
+    e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    # one number for each dimension
+    mean = [r["m"] for r in e.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]
+    norm = sum(m * m for m in mean) ** 0.5
+    direction = F.array(*map(F.lit, mean)) if mean else F.array().cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return e.select("vec_id", F.round(F.coalesce(F.try_divide(dot(F.col("v"), direction), F.sqrt(dot(F.col("v"), F.col("v"))) * F.lit(norm)), F.lit(0.0)), 6).alias("score"))
 
 
 def unigram_loss(spark, folder):

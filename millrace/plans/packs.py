@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import packing
+from millrace.session import kept
 from millrace.sources import table
 
 CAPACITY = 512
 
 
-def _items(spark, folder):
-    return packing.items(table(spark, folder, "documents"))
+def layout(spark, folder):
+    """The documents' layout, for which their texts are taken apart once."""
+    return kept(packing.layout(table(spark, folder, "documents")))
+
+
+def _items(spark, folder, placed=None):
+    d = table(spark, folder, "documents")
+    return kept(packing.items(d, layout(spark, folder) if placed is None else placed))
 
 
 def doc_layout(spark, folder):
@@ -54,9 +61,9 @@ def packing_stats(spark, folder):
 def window_supply(spark, folder):
     """Windows that each lane can fill at each context length, from sizes
     alone; windows of one token don't count."""
-    out = None
+    out, rows = None, _items(spark, folder)
     for n in (512, 1024):
-        w = packing.concat_chop(_items(spark, folder), n).groupBy("lane", "window").agg(F.sum("length").alias("used")).where("used > 1")
+        w = packing.concat_chop(rows, n).groupBy("lane", "window").agg(F.sum("length").alias("used")).where("used > 1")
         part = w.groupBy("lane").agg(F.lit(n).alias("context"), F.count(F.lit(1)).alias("windows"), F.sum("used").alias("tokens"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -67,8 +74,8 @@ def materialise_samples(spark, folder):
 
 
 def loss_mask(spark, folder):
-    d = table(spark, folder, "documents")
-    return packing.masks(packing.concat_chop(packing.items(d), CAPACITY), packing.layout(d), CAPACITY)
+    placed = layout(spark, folder)
+    return packing.masks(packing.concat_chop(_items(spark, folder, placed), CAPACITY), placed, CAPACITY)
 
 
 def attention_edges(spark, folder):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -35,7 +37,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = os.environ.setdefault("MILLRACE_LOCAL_CHECKPOINTS", tempfile.mkdtemp(prefix="millrace-"))
+        shared = os.environ.get("MILLRACE_LOCAL_CHECKPOINTS")
+        if not shared:
+            shared = os.environ["MILLRACE_LOCAL_CHECKPOINTS"] = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
 
@@ -45,3 +50,10 @@ def use_checkpoints(spark: SparkSession) -> None:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame computed once and kept in the shared folder, for what is read
+    several times."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators.commitlog import CommitLog
+from millrace.session import checkpoint_dir
 
 
 def follow(spark: SparkSession, source: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -45,9 +47,22 @@ def event_windows(events: DataFrame, late: str = "1 hour", width: str = "1 day")
     return counted.select(F.col("window.start").alias("start"), "event_type", "events", "value")
 
 
-def run_to_end(query_of, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming frame over all there is, into a table in memory."""
-    with tempfile.TemporaryDirectory(prefix="millrace-stream-") as checkpoint:
-        query = query_of.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-    return query_of.sparkSession.table(name)
+def run_to_end(query_of: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Run a streaming aggregate over all there is; its newest result.
+
+    Each batch writes the rows that it changed to the shared folder, or to
+    ``root``, under its number; of a row (all columns but the numbers, which
+    are sums) that several batches changed the last counts. With a ``root`` of
+    its own a stream that was stopped goes on where it was.
+    """
+    spark = query_of.sparkSession
+    base = root or f"{checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/n={number}")
+
+    query_of.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{base}/mark").trigger(availableNow=True).start().awaitTermination()
+    keys = [f.name for f in query_of.schema if f.dataType.simpleString() in ("timestamp", "string", "date", "timestamp_ntz")]
+    rest = [c for c in query_of.columns if c not in keys]
+    rows = spark.read.schema(StructType([*query_of.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
