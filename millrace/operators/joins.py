@@ -46,13 +46,17 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Join to a large table that has one row per key.
 
+    ``rows``: how many the left side has, if that is known; with no more than
+    ``hot_rows`` no key can be hot.
     Keys with more than ``hot_rows`` left rows are counted out first; there are
     at most (left rows / hot_rows) of them, and their right rows go to
     ``lookup_join``. All other keys take an ordinary shuffled join.
     """
+    if rows is not None and rows <= hot_rows:
+        return left.join(right, on, how)
     counts = left.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") > hot_rows).select(on)
     hot = counts.checkpoint() if counts.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else counts
     if hot.isEmpty():

@@ -23,7 +23,7 @@ def parent_index(parents: DataFrame) -> DataFrame:
     return parents.groupBy("ref_field", "ref_key").agg(F.min("first_at").alias("first_at"), F.when(kept == 0, F.max("gone_at")).alias("gone_at"))
 
 
-def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
+def probe(refs: DataFrame, index: DataFrame, rows: int | None = None) -> DataFrame:
     """refs with ref_state: missing, late, deleted, or null if all is well.
 
     ``late``: the key first existed after the reference was recorded.
@@ -33,7 +33,7 @@ def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
     keyed = refs.withColumn("_key", F.concat_ws("\x01", "ref_field", "ref_key"))
     there = index.select(F.concat_ws("\x01", "ref_field", "ref_key").alias("_key"), "first_at", "gone_at", F.lit(True).alias("_there"))
     state = F.when(F.col("_there").isNull(), "missing").when(F.col("first_at") > F.col("at"), "late").when(F.col("gone_at") <= F.col("at"), "deleted")
-    return skew_join(keyed, there, "_key").select("ref_field", "ref_key", "owner", "seq", "at", state.alias("ref_state"))
+    return skew_join(keyed, there, "_key", rows=rows).select("ref_field", "ref_key", "owner", "seq", "at", state.alias("ref_state"))
 
 
 def clean_refs(refs: DataFrame) -> DataFrame:
@@ -62,14 +62,16 @@ def _advance(old_refs: DataFrame, parents: DataFrame, old_open: DataFrame, new_r
     touched = came.select("ref_field", "ref_key").distinct()
     again = old_refs.join(touched, ["ref_field", "ref_key"], "left_semi")
     due = again.unionByName(clean_refs(new_refs)).dropDuplicates(one)
+    rows = None
     if due.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        # looked at four times below
+        # looked at five times below
         due = due.checkpoint()
+        rows = due.count()
     needed = due.select("ref_field", "ref_key").distinct()
     index = parent_index(parents.join(needed, ["ref_field", "ref_key"], "left_semi"))
     seen = due.select(*[F.col(c).alias(f"_{c}") for c in one])
     still = old_open.join(seen, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in one)), "left_anti")
-    return still.unionByName(probe(due, index).where(F.col("ref_state").isNotNull()))
+    return still.unionByName(probe(due, index, rows).where(F.col("ref_state").isNotNull()))
 
 
 def counts(open_refs: DataFrame) -> DataFrame:
