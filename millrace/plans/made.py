@@ -53,6 +53,13 @@ def sample_index(spark, folder):
     return samples.index(table(spark, folder, "segments"))
 
 
+def segment_positions(spark, folder):
+    """Positions of all recorded segments, per sample and segment: they begin
+    at 0 in each, wherever in the window it lies."""
+    p = packing.position_ids(table(spark, folder, "segments"))
+    return p.groupBy("sample_id", "segment").agg(F.count(F.lit(1)).alias("positions"), F.min("position").alias("first"), F.max("position").alias("last"), F.min("index").alias("first_index"))
+
+
 def sample_lookup(spark, folder):
     """Recorded samples by lane and length class, with the first of each."""
     rows = samples.index(table(spark, folder, "segments"))
@@ -172,6 +179,8 @@ ORACLES = {
     "holdout_windows": packs._CHOP.replace("it as (select d.doc_id, d.lane, max(l.tok_end) size from documents d join lay l using (doc_id) group by all)", "it as (select d.doc_id, d.lane, max(l.tok_end) size from documents d join lay l using (doc_id) where d.source in (select source_id from sources where held_out) group by all)")
     + """, w as (select lane, "window", sum(length) used, count(*) n from ch group by all) select lane, count(*) windows, sum(used)::bigint used, sum(n)::bigint segments from w group by 1""",
     "sample_index": _IDX + "select * from ix",
+    "segment_positions": """with o as (select distinct sample_id, seg_no, window_start, token_end - token_start n from segments), r as (select *, unnest(range(n::bigint)) i from o where n > 0)
+select sample_id, seg_no segment, count(*) positions, min(i)::int "first", max(i)::int "last", min(window_start + i)::int first_index from r group by all""",
     "sample_lookup": _IDX + "select lane, (case when used <= 512 then 512 when used <= 1024 then 1024 else 2048 end)::int length, count(*) samples, min(sample_id) first_sample from ix group by all",
     "dominant_hint": f"select shard_id, (['early', 'mid', 'anneal'])[max({_ORD}) + 1] hint, count(*) documents from documents group by 1",
     "reserve_list": "select doc_id, lane, shard_id from documents where coalesce(reserved, false) and coalesce(min_context, 0) <= (select max(sequence_length) from stage_mixture where stage = 'long-finish')",
