@@ -174,30 +174,49 @@ def alone(rows: DataFrame, capacity: int) -> DataFrame:
 
 def long_context(rows: DataFrame, capacity: int) -> DataFrame:
     """As ``alone``, of documents that may and should have so long a window."""
-    fits = (F.col("min_context") <= capacity) & (F.col("size") >= int(LEAST_FILL * capacity))
-    return alone(rows.where(fits), capacity)
+    return alone(rows.where((F.col("min_context") <= capacity) & (F.col("size") >= int(LEAST_FILL * capacity))), capacity)
+
 
+def put_off(rows: DataFrame, capacity: int) -> DataFrame:
+    """The documents that ``long_context`` puts off: they need a longer window
+    or fill too little of this one."""
+    fits = (F.col("min_context") <= capacity) & (F.col("size") >= int(LEAST_FILL * capacity))
+    return rows.where(~F.coalesce(fits, F.lit(False)))
 
-def stats(windows: DataFrame, policy: str, capacity: int) -> DataFrame:
-    """One row for windows given as (used, pieces)."""
-    return windows.agg(F.lit(policy).alias("policy"), F.lit(capacity).alias("capacity"), F.count(F.lit(1)).alias("windows"), F.sum("pieces").alias("pieces"), F.sum("used").alias("used"), F.round(F.try_divide(F.sum("used"), F.count(F.lit(1)) * capacity), 6).alias("utilisation"))
 
+def stats(windows: DataFrame, policy: str, capacity: int, rows: DataFrame, truncated: bool = False, deferred: DataFrame | None = None) -> DataFrame:
+    """One row for a policy whose windows are given as (used, pieces).
 
-def compare(rows: DataFrame, capacity: int) -> DataFrame:
-    """All policies over the same documents."""
+    rows: what was to be packed. retention is the share of its tokens that lie
+    in windows; splits are cuts within documents, crossings places where one
+    document follows another in a window; what lies in no window was truncated
+    or put off.
+    """
+    whole = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("input"), F.count_if(F.col("size") > 0).alias("documents"))
+    off = rows.limit(0) if deferred is None else deferred
+    late = off.agg(F.count(F.lit(1)).alias("deferred"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("deferred_tokens"))
+    made = windows.agg(F.count(F.lit(1)).alias("windows"), F.coalesce(F.sum("pieces"), F.lit(0)).cast("long").alias("pieces"), F.coalesce(F.sum("used"), F.lit(0)).cast("long").alias("used"), F.coalesce(F.sum(F.col("pieces") - 1), F.lit(0)).cast("long").alias("crossings"))
+    # one row each
+    one = made.withColumn("_k", F.lit(1)).join(whole.withColumn("_k", F.lit(1)), "_k").join(late.withColumn("_k", F.lit(1)), "_k")
+    room = F.col("windows") * capacity
+    lost = F.col("input") - F.col("used") - F.col("deferred_tokens")
+    return one.select(
+        F.lit(policy).alias("policy"), F.lit(capacity).alias("capacity"), "windows", "pieces", F.col("input").alias("input_tokens"), "used", (room - F.col("used")).alias("wasted"),
+        F.round(F.try_divide(F.col("used"), room), 6).alias("utilisation"), F.round(F.try_divide(F.col("used"), F.col("input")), 6).alias("retention"),
+        (F.lit(0).cast("long") if truncated else F.col("pieces") - (F.col("documents") - F.col("deferred"))).alias("splits"), lost.alias("truncated"), "deferred", "deferred_tokens", "crossings",
+    )
+
+
+def compare(rows: DataFrame, capacity: int, relational: bool = False) -> DataFrame:
+    """All policies over the same documents, or those that are relational."""
     by = lambda df, *keys: df.groupBy("lane", *keys).agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("pieces"))
     single = lambda df: df.select(F.col("length").alias("used"), F.lit(1).alias("pieces"))
-    out = stats(single(pad_only(rows, capacity)), "pad_only", capacity)
-    rest = [
-        ("concat_chop", by(concat_chop(rows, capacity), "window")),
-        ("greedy", by(greedy(rows, capacity), "part", "window")),
-        ("best_fit", by(best_fit(rows, capacity), "part", "window")),
-        ("structure_preserving", single(alone(rows, capacity))),
-        ("long_context", single(long_context(rows, capacity))),
-    ]
-    for name, windows in rest:
-        out = out.unionByName(stats(windows, name, capacity))
-    return out
+    out = stats(single(pad_only(rows.where("size > 0"), capacity)), "pad_only", capacity, rows, truncated=True).unionByName(stats(by(concat_chop(rows, capacity), "window"), "concat_chop", capacity, rows))
+    if relational:
+        return out
+    for name, windows in (("greedy", by(greedy(rows, capacity), "part", "window")), ("best_fit", by(best_fit(rows, capacity), "part", "window")), ("structure_preserving", single(alone(rows, capacity)))):
+        out = out.unionByName(stats(windows, name, capacity, rows))
+    return out.unionByName(stats(single(long_context(rows, capacity)), "long_context", capacity, rows, deferred=put_off(rows, capacity)))
 
 
 def masks(windows: DataFrame, spans: DataFrame, capacity: int) -> DataFrame:

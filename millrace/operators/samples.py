@@ -63,10 +63,11 @@ def arrays(windows: DataFrame, spans: DataFrame, capacity: int) -> DataFrame:
 
 
 def array_problems(made: DataFrame, capacity: int) -> DataFrame:
-    """(lane, window, problems): which of six rules a window's arrays break:
+    """(lane, window, problems): which of eight rules a window's arrays break:
     arrays of one length, masks of 0 and 1, no loss on padding, none on the
     first position of a segment, positions that begin at 0 and rise by one in
-    each segment, and something to learn from."""
+    each segment, segments in one piece, no token after padding, and something
+    to learn from."""
     seg, pos, mask = F.col("segment_ids"), F.col("position_ids"), F.col("loss_mask")
     rows = F.zip_with(F.zip_with(seg, pos, lambda s, p: F.struct(s.alias("s"), p.alias("p"))), mask, lambda a, m: F.struct(a["s"].alias("s"), a["p"].alias("p"), m.alias("m")))
     before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(seg, 1, capacity - 1))
@@ -80,6 +81,8 @@ def array_problems(made: DataFrame, capacity: int) -> DataFrame:
             F.when(F.exists(rows, lambda r: (r["s"] < 0) & (r["m"] != 0)), "loss_on_padding"),
             F.when(F.exists(pairs, lambda r: (r["s"] >= 0) & ~r["s"].eqNullSafe(r["b"]) & (r["m"] != 0)), "loss_on_first"),
             F.when(F.exists(steps, lambda ok: ~F.coalesce(ok, F.lit(False))), "positions"),
+            F.when(F.size(F.filter(pairs, lambda r: (r["s"] >= 0) & ~r["s"].eqNullSafe(r["b"]))) > F.size(F.array_distinct(F.filter(seg, lambda s: s >= 0))), "interleaved"),
+            F.when(F.exists(pairs, lambda r: (r["s"] >= 0) & F.coalesce(r["b"] < 0, F.lit(False))), "token_after_padding"),
             F.when(~F.exists(mask, lambda m: m == 1), "nothing_learnt"),
         )
     )

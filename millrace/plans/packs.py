@@ -53,6 +53,16 @@ def compare_policies(spark, folder):
     return packing.compare(_items(spark, folder), CAPACITY)
 
 
+def deferred_documents(spark, folder):
+    """Documents that the long-context policy puts off, per lane."""
+    return packing.put_off(_items(spark, folder), 1024).groupBy("lane").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").cast("long").alias("tokens"), F.min("doc_id").alias("first"))
+
+
+def compare_relational(spark, folder):
+    """The statistics of the two policies that are relational."""
+    return packing.compare(_items(spark, folder), CAPACITY, relational=True)
+
+
 def packing_stats(spark, folder):
     w = packing.concat_chop(_items(spark, folder), CAPACITY).groupBy("lane", "window").agg(F.sum("length").alias("used"))
     return w.groupBy("lane").agg(F.count(F.lit(1)).alias("windows"), F.sum("used").alias("used"), F.round(F.sum("used") / (F.count(F.lit(1)) * CAPACITY), 6).alias("utilisation"))
@@ -122,6 +132,12 @@ ORACLES = {
     "doc_layout": _LAYOUT + "select * from lay",
     "pack_pad_only": _LAYOUT + f"select lane, doc_id, least(size, {CAPACITY}) length, greatest(size - {CAPACITY}, 0) truncated from it",
     "pack_concat_chop": _CHOP + 'select lane, "window", doc_id, "offset", length, window_start from ch',
+    "deferred_documents": _LAYOUT + """select i.lane, count(*) documents, sum(size)::bigint tokens, min(i.doc_id) "first" from it i join documents d using (doc_id)
+where not coalesce(coalesce(d.min_context, 0) <= 1024 and size >= 460, false) group by 1""",
+    "compare_relational": _CHOP + f""", z as (select sum(size) inp, count(*) filter (size > 0) docs from it), pa as (select count(*) windows, count(*) pieces, sum(least(size, {CAPACITY})) used from it where size > 0),
+cw as (select lane, "window", sum(length) used, count(*) pieces from ch group by all), ca as (select count(*) windows, sum(pieces) pieces, sum(used) used, sum(pieces - 1) crossings from cw)
+select 'pad_only' policy, {CAPACITY} capacity, windows, pieces, inp::bigint input_tokens, used::bigint used, (windows * {CAPACITY} - used)::bigint wasted, round(used / (windows * {CAPACITY}), 6) utilisation, round(used / inp, 6) retention, 0::bigint splits, (inp - used)::bigint truncated, 0::bigint deferred, 0::bigint deferred_tokens, 0::bigint crossings from pa, z
+union all select 'concat_chop', {CAPACITY}, windows, pieces::bigint, inp::bigint, used::bigint, (windows * {CAPACITY} - used)::bigint, round(used / (windows * {CAPACITY}), 6), round(used / inp, 6), (pieces - docs)::bigint, (inp - used)::bigint, 0, 0, crossings::bigint from ca, z""",
     "packing_stats": _CHOP + f', w as (select lane, "window", sum(length) used from ch group by all) select lane, count(*) windows, sum(used) used, round(sum(used) / (count(*) * {CAPACITY}), 6) utilisation from w group by 1',
     "window_supply": _CHOP + ", " + _chop(1024, "ch2") + """, w as (select 512 context, lane, "window", sum(length) used from ch group by all union all select 1024, lane, "window", sum(length) from ch2 group by all)
 select lane, context, count(*) windows, sum(used) tokens from w where used > 1 group by all""",

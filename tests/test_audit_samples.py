@@ -86,6 +86,7 @@ def test_each_rule_of_the_arrays(spark):
     cases = {
         "": good, "length": (good[0][:3], good[1], good[2]), "mask_values": (good[0], good[1], [0, 2, 1, 0]), "loss_on_padding": (good[0], good[1], [0, 1, 0, 1]),
         "loss_on_first": (good[0], good[1], [0, 1, 1, 0]), "positions": (good[0], [0, 2, 0, 0], good[2]), "nothing_learnt": (good[0], good[1], [0, 0, 0, 0]),
+        "interleaved": ([0, 0, 1, 0], [0, 1, 0, 0], [0, 1, 0, 0]), "token_after_padding": ([0, 0, -1, 1], [0, 1, 0, 0], [0, 1, 0, 0]),
     }
     df = spark.createDataFrame([(k, 0, *v) for k, v in cases.items()], "lane string, window long, segment_ids array<bigint>, position_ids array<bigint>, loss_mask array<bigint>")
     for r in samples.array_problems(df, 4).collect():
