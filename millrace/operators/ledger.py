@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +73,38 @@ def event_hash(seq: Column, prev_hash: Column, kind: Column, payload: Column) ->
     return F.sha2(F.concat(F.lit('{"payload":'), payload, F.lit(',"prev_hash":"'), prev_hash, F.lit('","seq":'), seq.cast("string"), F.lit(',"type":"'), kind, F.lit('"}')), 256)
 
 
+RECORD = "branch_id string, seq long, prev_hash string, event_hash string, type string, payload string"
+
+
+def heads(records: DataFrame) -> DataFrame:
+    """(branch_id, seq, event_hash) of each ledger's last record."""
+    last = records.groupBy("branch_id").agg(F.max(F.struct("seq", "event_hash")).alias("r"))
+    return last.select("branch_id", "r.seq", "r.event_hash")
+
+
+def chained(events: DataFrame, last: DataFrame) -> DataFrame:
+    """Events as records that go on from their ledgers' heads.
+
+    events: branch_id, place (their order), type, payload as canonical JSON;
+    equal places are ordered by type and payload. A ledger without a head
+    begins at 0. Hashing a chain is sequential, so a task has all new events
+    of its ledgers, but nothing of what they hold already.
+    """
+
+    def run(new: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        seq, prev = (-1, GENESIS) if head.empty else (int(head["seq"].iloc[0]), head["event_hash"].iloc[0])
+        rows = []
+        for e in new.sort_values(["place", "type", "payload"], kind="stable").itertuples():
+            seq += 1
+            own = hashlib.sha256(f'{{"payload":{e.payload},"prev_hash":"{prev}","seq":{seq},"type":"{e.type}"}}'.encode()).hexdigest()
+            rows.append((e.branch_id, seq, prev, own, e.type, e.payload))
+            prev = own
+        return pd.DataFrame(rows, columns=["branch_id", "seq", "prev_hash", "event_hash", "type", "payload"])
+
+    own = events.where(F.col("branch_id").isNotNull()).select("branch_id", "place", F.coalesce("type", F.lit("")).alias("type"), F.coalesce("payload", F.lit("null")).alias("payload"))
+    return own.groupBy("branch_id").cogroup(last.select("branch_id", "seq", "event_hash").groupBy("branch_id")).applyInPandas(run, RECORD)
+
+
 def chain_breaks(records: DataFrame) -> DataFrame:
     """Records that don't fit their chain: (branch_id, seq, problem).
 

@@ -92,6 +92,14 @@ def audit_bundle(spark, folder, start: int = 6, end: int = 12):
     return out
 
 
+def chain_append(spark, folder):
+    """A note of what is thrown away, appended to every ledger: the records
+    that go on from the ledgers' heads."""
+    rows = ledger.current(_landings(spark, folder))
+    note = rows.groupBy("branch_id").agg(F.max("seq").alias("seq")).select("branch_id", F.lit(0).alias("place"), F.lit("rollback").alias("type"), F.concat(F.lit('{"upto":'), F.col("seq").cast("string"), F.lit("}")).alias("payload"))
+    return ledger.chained(note, ledger.heads(rows))
+
+
 def batch_by_step(spark, folder):
     """The batch id of each step; of several the one written last."""
     return _mb(spark, folder).groupBy("branch_id", "step").agg(F.max_by("batch_id", "seq").alias("batch_id"))
@@ -238,6 +246,8 @@ select branch_id, seq, idx::int idx, sample_id, decision_id, shard_id, status, r
 th as (select branch_id, min(step) a, max(step) b from ct where hi - n < al * 2 / 3 and hi > al / 3 group by 1)
 select branch_id, 'shards' part, count(distinct s)::bigint as value from (select branch_id, unnest(shards) s from mb) group by 1 union all select branch_id, 'interval_records', count(*) from mb where step between 6 and 11 group by 1
 union all select branch_id, 'middle_first', a from th union all select branch_id, 'middle_last', b from th union all select branch_id, 'spike_step', spike_step from sg""",
+    "chain_append": MB + """, h as (select branch_id, max(seq) s, arg_max(event_hash, seq) prev_hash from cur group by 1), n as (select branch_id, s + 1 seq, prev_hash, 'rollback' "type", '{"upto":' || s || '}' payload from h)
+select branch_id, seq, prev_hash, sha256('{"payload":' || payload || ',"prev_hash":"' || prev_hash || '","seq":' || seq || ',"type":"rollback"}') event_hash, "type", payload from n""",
     "batch_by_step": MB + "select branch_id, step, arg_max(batch_id, seq) batch_id from mb group by all",
     "learning_view": MB + _LEARN + """select branch_id, seq, coalesce(p.step, -1) step, coalesce(p.sample_id, '') sample_id, coalesce(p.lane, '') lane, coalesce(p.curriculum_stage, '') curriculum_stage, coalesce(p.model_phase, '') model_phase,
   coalesce(p.checkpoint_before, '') checkpoint_before, coalesce(p.opus_decision_id, '') opus_decision_id, coalesce(p.loss_before, 0) loss_before, coalesce(p.loss_after, 0) loss_after, coalesce(p.loss_delta, 0) loss_delta, coalesce(p.gradient_norm, 0) gradient_norm,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators.commitlog import CommitLog
+from millrace.operators.ledger import RECORD, chained, heads
 from millrace.session import checkpoint_dir
 
 
@@ -40,6 +41,38 @@ def upsert(stream: DataFrame, root: str, checkpoint: str, keys: list[str], order
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_chained(stream: DataFrame, root: str, checkpoint: str):
+    """Append a stream of events (branch_id, place, type, payload) to hash-chained
+    ledgers in ``root``, exactly once.
+
+    The state is a head for each ledger; a batch reads the heads, chains its
+    events to them, and commits records and new heads with its number. A batch
+    that is replayed after a crash finds its number and does nothing.
+    """
+    log = CommitLog(stream.sparkSession, root)
+
+    def write(batch: DataFrame, number: int) -> None:
+        version, state = log.latest()
+        if state and state["batch"] >= number:
+            return
+        spark = batch.sparkSession
+        known = spark.read.parquet(state["heads"]) if state else spark.createDataFrame([], "branch_id string, seq long, event_hash string")
+        rows_at, heads_at = log.fresh("records"), log.fresh("heads")
+        chained(batch, known).write.parquet(rows_at)
+        new = spark.read.schema(RECORD).parquet(rows_at)
+        heads(known.unionByName(new.select("branch_id", "seq", "event_hash"))).write.parquet(heads_at)
+        log.commit(version, {"records": rows_at, "heads": heads_at, "batch": number})
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(spark: SparkSession, root: str) -> DataFrame:
+    """All records of the ledgers in ``root``."""
+    log = CommitLog(spark, root)
+    paths = [log.read(v)["records"] for v in log.versions()]
+    return spark.read.schema(RECORD).parquet(*paths) if paths else spark.createDataFrame([], RECORD)
+
+
 def event_windows(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Events per type and window; those later than ``late`` are let go."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
