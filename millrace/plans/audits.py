@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import audit, ledger, learning
-from millrace.plans import mixes
+from millrace.plans import learned, mixes
 from millrace.plans.ledgers import MB
 from millrace.sources import table
 
@@ -171,6 +171,53 @@ def evidence(spark, folder):
     ])
 
 
+def completion_cards(spark, folder):
+    """The last leg of the walk from served samples: shards served beside
+    shards that have a report card, per branch."""
+    served = _mb(spark, folder).select("branch_id", F.explode("shard_ids").alias("shard_id")).groupBy("branch_id", "shard_id").agg(F.count(F.lit(1)).alias("times"))
+    cards = learning.report_cards(_samples(spark, folder)).select("shard_id", "class")
+    both = served.join(cards, "shard_id", "left")
+    return both.groupBy("branch_id", F.coalesce("class", F.lit("no_card")).alias("class")).agg(F.count(F.lit(1)).alias("shards"), F.sum("times").alias("times"))
+
+
+def decision_rates(spark, folder):
+    """Per branch how many decisions were accepted, how many overrode for a
+    protected lane, and whether the three statuses are all there are."""
+    last = _decisions(spark, folder).where(F.col("decision_id").isNotNull()).groupBy("decision_id").agg(F.max_by(F.struct("branch_id", "status", "protected_floor_override"), "seq").alias("r")).select("r.*")
+    named = F.count_if(F.col("status").isin("accepted", "rejected", "deferred"))
+    return last.groupBy("branch_id").agg(F.count(F.lit(1)).alias("decisions"), F.round(F.count_if(F.col("status") == "accepted") / F.count(F.lit(1)), 6).alias("acceptance"), F.count_if(F.coalesce("protected_floor_override", F.lit(False))).alias("overrides"), (named == F.count(F.lit(1))).alias("reconciled"))
+
+
+def throughput(spark, folder):
+    """Positions and graded tokens that each branch served, and those a second
+    of the time over which its current records landed."""
+    at = ledger.current(_landings(spark, folder)).select("branch_id", "seq", "landed_at")
+    sums = _mb(spark, folder).join(at, ["branch_id", "seq"]).groupBy("branch_id").agg(F.sum("total_positions").alias("positions"), F.sum("loss_bearing_tokens").alias("graded"), ((F.unix_micros(F.max("landed_at")) - F.unix_micros(F.min("landed_at"))) / 1e6).alias("seconds"))
+    rate = lambda c: F.round(F.when(F.col("seconds") > 0, F.col(c) / F.col("seconds")), 6)
+    return sums.select("branch_id", "positions", "graded", F.round("seconds", 3).alias("seconds"), rate("positions").alias("positions_a_second"), rate("graded").alias("graded_a_second"))
+
+
+def limiting_cause(spark, folder):
+    """Shares that stages ask for beside those of the compiled schedule, and
+    what keeps them apart: the floor, the batch's whole sequences, or nothing."""
+    got = mixes.compile_schedule(spark, folder).groupBy("stage", "lane").agg(F.sum("sequences").alias("n"))
+    total = got.groupBy("stage").agg(F.sum("n").alias("all"))
+    m = table(spark, folder, "stage_mixture").select("stage", "lane", "target_share", F.when(~F.isnan("protected_floor"), F.col("protected_floor")).alias("floor"))
+    share = F.coalesce(F.try_divide(F.col("n"), F.col("all")), F.lit(0.0))
+    rows = m.join(got, ["stage", "lane"], "left").join(total, "stage", "left").withColumn("share", share).withColumn("delta", share - F.col("target_share"))
+    unit, rose = 1.0 / mixes.PER_STEP, F.col("delta") > 0
+    lifted = rose & (F.col("share") + 1e-9 >= F.col("floor")) & (F.col("floor") > F.col("target_share") - 1e-9)
+    # The causes' names.
+    cause = (
+        F.when(F.abs("delta") < 1e-9, "")
+        .when(lifted, "protected_floor")
+        .when((F.col("target_share") > 0) & (F.col("target_share") < unit), "below_quota_granularity")
+        .when(F.abs("delta") <= unit, "integer_rounding")
+        .otherwise("reallocated_from_empty_or_short_lanes")
+    )
+    return rows.select("stage", "lane", "target_share", F.round("share", 6).alias("share"), F.round("delta", 6).alias("delta"), cause.alias("cause"))
+
+
 _F9 = ("global_step", "rank", "microbatch_id", "batch_id", "plan_hash", "packed_sample_ids", "token_span_ids", "tokens_hash", "loss_mask_hash")
 _FIELDS = ", ".join(f"coalesce(payload->>'{f}', '')" for f in _F9)
 _VERS = f""", vall as (select branch_id, seq, payload, event_hash, row_number() over (partition by branch_id, seq order by landed_at, event_hash) i, row_number() over (partition by branch_id, seq order by landed_at desc, event_hash desc) k
@@ -258,5 +305,17 @@ select branch_id, seq, prev_hash, sha256('{"payload":' || payload || ',"prev_has
     "phase_timers": """with t as (select coalesce(status, 'none') status, 'run' timer, (epoch_us(finished_at) - epoch_us(started_at)) / 1e6 s from ingest_runs union all select coalesce(status, 'none'), 'behind', (epoch_us(started_at) - epoch_us(read_upto)) / 1e6 from ingest_runs)
 select status, timer, count(s) runs, round(sum(s), 3) as seconds from t group by all""",
     "evidence": _checks(),
+    "completion_cards": learned._CARDS + """, cm as (select * from (select *, row_number() over (partition by branch_id, seq order by landed_at desc, event_hash desc) k from consumption_ledger where event_hash is not null and branch_id is not null and seq is not null) where k = 1 and type = 'consume_microbatch'),
+sv as (select branch_id, shard_id, count(*) times from (select branch_id, unnest(from_json(payload->'shard_ids', '["varchar"]')) shard_id from cm) group by all)
+select branch_id, coalesce(c.class, 'no_card') "class", count(*) shards, sum(times)::bigint times from sv left join cards c using (shard_id) group by all""",
+    "decision_rates": "with dl as (select * from opus_decisions where decision_id is not null qualify row_number() over (partition by decision_id order by seq desc) = 1)\n"
+    + "select branch_id, count(*) decisions, round(count(*) filter (status = 'accepted') / count(*), 6) acceptance, count(*) filter (coalesce(protected_floor_override, false)) overrides, count(*) filter (status in ('accepted', 'rejected', 'deferred')) = count(*) reconciled from dl group by 1",
+    "throughput": MB + """, t as (select m.branch_id, sum(total)::bigint positions, sum(loss)::bigint graded, (epoch_us(max(c.landed_at)) - epoch_us(min(c.landed_at))) / 1e6 s from mb m join cur c using (branch_id, seq) group by 1)
+select branch_id, positions, graded, round(s, 3) as seconds, round(case when s > 0 then positions / s end, 6) positions_a_second, round(case when s > 0 then graded / s end, 6) graded_a_second from t""",
+    "limiting_cause": f"""with c as ({mixes.ORACLES['compile_schedule']}), g as (select stage, lane, sum(sequences) n from c group by all),
+r as (select m.stage, m.lane, target_share, case when not isnan(protected_floor) then protected_floor end fl, coalesce(n / nullif(sum(n) over (partition by m.stage), 0), 0) sh from stage_mixture m left join g on g.stage = m.stage and g.lane = m.lane)
+select stage, lane, target_share, round(sh, 6) share, round(sh - target_share, 6) delta,
+  case when abs(sh - target_share) < 1e-9 then '' when sh > target_share and sh + 1e-9 >= fl and fl > target_share - 1e-9 then 'protected_floor' when target_share > 0 and target_share < 1.0 / {mixes.PER_STEP} then 'below_quota_granularity'
+    when abs(sh - target_share) <= 1.0 / {mixes.PER_STEP} then 'integer_rounding' else 'reallocated_from_empty_or_short_lanes' end cause from r""",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
