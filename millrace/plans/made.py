@@ -148,7 +148,7 @@ def _planted(spark, folder):
     bad = bad.unionByName(twice.select("shard_id", "doc_id", F.col("token_end").alias("token_start"), (F.col("e") + 1).alias("token_end")))
     each = spans.groupBy("shard_id").agg(F.max("token_end").alias("token_count"), F.min("doc_id").alias("k"))
     k = F.pmod(F.col("k"), F.lit(50))
-    manifests = each.select("shard_id", F.when(k == 3, None).when(k == 5, F.col("token_count") + 1).otherwise(F.col("token_count")).alias("token_count"), F.when(k == 9, None).otherwise(F.sha2("shard_id", 256)).alias("content_hash"))
+    manifests = each.select("shard_id", F.when(k == 3, None).when(k == 5, F.col("token_count") + 7).otherwise(F.col("token_count")).alias("token_count"), F.when(k == 9, None).otherwise(F.sha2("shard_id", 256)).alias("content_hash"))
     return bad, manifests
 
 
