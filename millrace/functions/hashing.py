@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import lookup_join
+from millrace.operators.windows import running_sum
+
 
 def canonical_json(value) -> str:
     """One text for equal values: keys sorted, no blanks, letters as they are;
@@ -60,18 +63,36 @@ def seed_column(*parts: Column | str) -> Column:
 
 
 def merkle_roots(rows: DataFrame, key: str, order: str, digest: str, width: int = 4096) -> DataFrame:
-    """(key, root, leaves): a root for each stretch of a group's digests in
-    order of a number, and one over these; so a large group is spread."""
-
-    def root(group: pd.DataFrame, by: str) -> str:
-        return merkle_root(group.sort_values(by)["d"])
+    """(key, root, leaves): the Merkle root of each group's digests in order of
+    a number, which should be unique in it.
+
+    The leaves are cut into subtrees of ``width`` of them, a power of two, so
+    a large group is spread; their roots make the rest of the same tree, since
+    a subtree that is not full pairs its last node with itself at each level up
+    to the height of the full ones, as the whole tree does. Null digests are
+    no leaves, and a group without any has no row.
+    """
+    height = width.bit_length() - 1
+
+    def subtree(leaves: list[str], whole: bool) -> str:
+        if whole:
+            return merkle_root(leaves)
+        level = [bytes.fromhex(x) for x in leaves]
+        for _ in range(height):
+            level += level[-1:] * (len(level) % 2)
+            level = [hashlib.sha256(a + b).digest() for a, b in zip(level[::2], level[1::2])]
+        return level[0].hex()
 
     def part(k, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(k[0], k[1], root(group, "o"), len(group))], columns=[key, "o", "d", "n"])
+        leaves = list(group.sort_values("o")["d"])
+        return pd.DataFrame([(k[0], k[1], subtree(leaves, int(group["all"].iloc[0]) <= width), len(leaves))], columns=[key, "o", "d", "n"])
 
     def whole(k, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(k[0], root(group, "o"), int(group["n"].sum()))], columns=[key, "root", "leaves"])
+        return pd.DataFrame([(k[0], merkle_root(group.sort_values("o")["d"]), int(group["n"].sum()))], columns=[key, "root", "leaves"])
 
-    cut = rows.where(F.col(digest).isNotNull()).select(key, F.floor(F.col(order) / width).alias("p"), F.col(order).alias("o"), F.col(digest).alias("d"))
+    kept = rows.where(F.col(digest).isNotNull() & F.col(key).isNotNull()).select(key, F.col(order).alias("o"), F.col(digest).alias("d"), F.lit(1).cast("long").alias("_one"))
+    numbered = running_sum(kept, [key], ["o", "d"], "_one", "_place", width=None)
+    sized = lookup_join(numbered, kept.groupBy(key).agg(F.count(F.lit(1)).alias("all")), [key])
+    cut = sized.select(key, F.floor((F.col("_place") - 1) / width).alias("p"), F.col("_place").alias("o"), "d", "all")
     parts = cut.groupBy(key, "p").applyInPandas(part, f"{key} string, o long, d string, n long")
     return parts.groupBy(key).applyInPandas(whole, f"{key} string, root string, leaves long")
