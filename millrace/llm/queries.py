@@ -124,13 +124,13 @@ SENTENCE_LANES = ("general_web", "math_science", "indic")
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").where(F.col("lane").isin(*SENTENCE_LANES))
-    return sentences.split(documents, model=sentences.fit(documents))
+    return sentences.fit_split(documents)
 
 
 def p9_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences per source and language, and their length, over all lanes."""
     documents = table(spark, folder, "documents")
-    found = sentences.split(documents.where(F.col("doc_id").isNotNull()), model=sentences.fit(documents))
+    found = sentences.fit_split(documents).where(F.col("doc_id").isNotNull())
     each = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars"))
     return documents.select("doc_id", "source", "lang").join(each, "doc_id").groupBy("source", "lang").agg(F.sum("n").alias("sentences"), F.sum("chars").alias("chars"), F.max("n").alias("most_in_a_document"))
 

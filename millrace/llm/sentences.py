@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import sampling
 from millrace.llm.budget import language
 from millrace.session import kept
 
@@ -53,10 +55,11 @@ _item = re.compile(r"[^\S\n]*(?:[-*•·‣◦+]|\(?\d{1,4}[.)]|\(?[a-zA-Z][)])[
 _bullet = re.compile(r"[^\S\n]*[-*•·‣◦]\s")
 _title = re.compile(r"[^\S\n]*#{1,6}\s")
 _paired = re.compile(r"""["«»„“”「」『』()（）\[\]【】《》]""")
-_stops = re.compile(r"[.!?…。．！？।॥۔؟]+(?:[^\S\n]?[!?।॥])*|(?<=\s)\|(?=\s|$)|(?<=[ऀ-෿])\|(?=\s|$)")
+_stops = re.compile(r"[.!?…。．！？।॥۔؟]+(?:[^\S\n]?[!?।॥])*|\|(?<=[\sऀ-෿]\|)(?=\s|$)")
 _thai = re.compile(r"(?<=[\u0e00-\u0e7f])\s+(?=[\u0e00-\u0e7f])|(?<=[\u0e00-\u0e7f0-9%])\s+(?=[\u0e00-\u0e7f])|(?<=[\u0e00-\u0e7f])\s+(?=[0-9])")
 _has_thai = re.compile(r"[\u0e00-\u0e7f]")
 _before = re.compile(r"""[^\s"“”„«»「」()（）\[\]]*\Z""")
+_quoting = re.compile(r"""["“”„«»「」()（）\[\]]""")
 _word = re.compile(r"[^\W\d_]+")
 _written = re.compile(r"[^\W\d_][^\s.,;:!?…。．！？।॥۔؟،؛()«»„“”「」『』\"]*")
 _initials = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]\Z")
@@ -70,8 +73,14 @@ AGAINST = -6.0
 INSIDE, STRAY = 14.0, 6.0
 #: How strongly weights are drawn to 0.
 PULL = 1.0
-#: Documents of each language that the model is fitted on, at most.
-SAMPLE = 400
+#: Characters of text whose places are kept in one row.
+PART_CHARS = 4_000_000
+#: Kinds of places up to which the driver fits the weights itself; with more,
+#: each round is a job that gives the same sums.
+LOCAL_PLACES = 500_000
+#: Slopes are rounded to multiples of this, so that their sums are exact in
+#: whatever order they are taken.
+GRAIN = 2.0**-20
 
 
 # Opening marks that a closing mark can belong to.
@@ -185,6 +194,31 @@ def _opening(text: str, at: int, hi: int) -> tuple[str, str, str]:
     return ("lower" if c.islower() else "plain"), word.lower(), marks
 
 
+def _token(text: str, lo: int, at: int) -> str:
+    """What stands before a place, from the last blank, quotation mark or bracket on."""
+    near = text[max(lo, at - 40) : at]
+    if not near or near[-1].isspace():
+        return ""
+    token = near.rsplit(None, 1)[-1]
+    return _before.search(token).group() if _quoting.search(token) else token
+
+
+@lru_cache(1 << 16)
+def _bare(token: str) -> tuple[str, bool]:
+    """A token in small letters behind its last apostrophe, and whether it is initials."""
+    bare = re.split("[’']", _marks.sub("", unicodedata.normalize("NFC", token)).lower())[-1] if token else ""
+    return bare, bool(_initials.match(bare))
+
+
+@lru_cache(1 << 16)
+def _shape(token: str) -> tuple[str, str]:
+    """A token in small letters, two of them in scripts without spaces, and its shape."""
+    bare = token.lower() if token.isascii() else _marks.sub("", token).lower()
+    if _inner.match(bare[-1:]):
+        return bare[-2:], "inner"
+    return bare, "none" if not bare else "digits" if bare.isdigit() else "letter" if len(bare) == 1 else "dotted" if "." in bare else "short" if len(bare) < 4 else "word"
+
+
 def _spelling(text: str, lo: int, hi: int, m: re.Match, end: int, start: int, opening: tuple[str, str, str], quoted: int | None) -> float | None:
     """Whether the spelling speaks for an end at ``end`` and a start at
     ``start``, as log-odds; None if it speaks against it."""
@@ -200,8 +234,7 @@ def _spelling(text: str, lo: int, hi: int, m: re.Match, end: int, start: int, op
         return None
     pause = stop.startswith(("..", "…"))
     single = stop == "."
-    token = text[max(lo, s - 40) : s]
-    token = _before.search(token).group() if single or stop == "!" else ""
+    token = _token(text, lo, s) if single or stop == "!" else ""
     if quoted is not None:
         # words that follow a quotation directly name its speaker
         opener = text[quoted]
@@ -230,17 +263,17 @@ def _spelling(text: str, lo: int, hi: int, m: re.Match, end: int, start: int, op
         if near and kind == "lower" and not _inner.match(text[s - 1 : s]):
             return None
         return fit
-    bare = re.split("[’']", _marks.sub("", unicodedata.normalize("NFC", token)).lower())[-1] if token else ""
+    bare, initials = _bare(token)
     if near:
         # "end.Next", but not "3.5", "name.py" or "D.V."
         if kind == "plain":
             return STOP if not bare[-1:].isdigit() and bare not in LEADING else None
-        if quoted is None and (kind != "upper" or len(bare) < 2 or _initials.match(bare) and len(bare) > 1 and "." in bare):
+        if quoted is None and (kind != "upper" or len(bare) < 2 or initials and len(bare) > 1 and "." in bare):
             return None if not (kind in ("none",) and marks) else None
         if quoted is None and not (token[-1:].islower() or token[-1:].isdigit() or len(token) > 3):
             return None
     if quoted is None and bare:
-        last = bare.rsplit(".", 1)[-1] if not _initials.match(bare) else bare
+        last = bare.rsplit(".", 1)[-1] if not initials else bare
         head = text[max(lo, s - len(token) - 24) : s - len(token)].split()
         prev = head[-1].lower() if head else ""
         if bare in CLOSING or (prev + bare) in CLOSING:
@@ -249,7 +282,7 @@ def _spelling(text: str, lo: int, hi: int, m: re.Match, end: int, start: int, op
             return (1.5 if kind == "upper" and word in OPENERS else None) if kind != "plain" else None
         if bare in LEADING or last in LEADING and "." in bare:
             return None
-        if _initials.match(bare) and not bare.isdigit():
+        if initials and not bare.isdigit():
             if kind == "plain" or kind == "lower":
                 return None if kind == "lower" or len(bare) < 3 else STOP
             return 1.5 if kind == "upper" and word in OPENERS and token[-1].isupper() else (None if kind == "upper" else 0.5)
@@ -271,15 +304,14 @@ def _features(text: str, lo: int, m: re.Match, opening: tuple[str, str, str], qu
     opens next, and the quotation or bracket that closes here."""
     stop, s = m.group()[-1], m.start()
     kind, word, marks = opening
-    token = _before.search(text, max(lo, s - 40), s).group()
-    bare = token.lower() if token.isascii() else _marks.sub("", token).lower()
-    shape = "none" if not bare else "digits" if bare.isdigit() else "letter" if len(bare) == 1 else "dotted" if "." in bare else "short" if len(bare) < 4 else "word"
-    if _inner.match(bare[-1:]):
-        bare, shape = bare[-2:], "inner"
+    token = _token(text, lo, s)
+    bare, shape = _shape(token)
     out = [f"s{shape} {stop}{kind}{marks[:1]}", f"w{stop}{bare[-24:]}"]
     if quoted is not None:
         before = text[max(lo, quoted - 2) : quoted].strip()[-1:]
-        lead = "start" if quoted == lo else "stop" if _stops.match(before) else "colon" if before in (":", "：") else "comma" if before in (",", "，", "、") else "inside"
+        # a block's start is like a stop: an end there is known only in blocks of
+        # one sentence, so apart it would seem to be none the more texts are read
+        lead = "stop" if quoted == lo or _stops.match(before) else "colon" if before in (":", "：") else "comma" if before in (",", "，", "、") else "inside"
         out.append(f"q{text[quoted]}{stop}{kind}{marks[:1]} {lead}")
     if shape in ("digits", "letter", "dotted"):
         head = text[max(lo, s - len(token) - 24) : s - len(token)].split()
@@ -411,46 +443,17 @@ class Model:
                 self.openings[w] = min(most, max(-most, math.log(ratio)))
         return self
 
-    def fit(self, places: list[tuple[bool, float, float, tuple[int, ...], str]], names: list[str], rounds: int = 200, pull: float = PULL) -> Model:
-        """places: known, log-odds of the spelling and of the opening, numbers
-        of the features, language. The share is one of the language, as its blocks' lengths are."""
-        if not any(p[0] for p in places):
-            return self
-        known = np.array([p[0] for p in places])
-        rule = np.array([p[1] for p in places])
-        sure = rule >= STOP
-        rule += np.array([p[2] for p in places])
-        sizes = np.array([len(p[3]) for p in places])
-        row, col = np.repeat(np.arange(len(places)), sizes), np.fromiter((f for p in places for f in p[3]), np.int64)
-        mean = float(known[sure].mean()) if sure.any() else float(known.mean())
-        group = np.array([p[4] for p in places])
-        share = np.zeros(len(places))
-        for g in set(group):
-            own = known[sure & (group == g)]
-            share[group == g] = np.clip((own.sum() + 20 * mean) / (len(own) + 20), 0.02, 0.95)
-        theta, first, second = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
+    def fit(self, names: list[str], slopes: Callable[[np.ndarray], np.ndarray], rounds: int = 200, pull: float = PULL) -> Model:
+        """names: the features; slopes: what the places say of given weights."""
+        theta, first, second = np.zeros((3, len(names)))
         for t in range(1, rounds + 1):
-            g = 1 / (1 + np.exp(-np.clip(rule + np.bincount(row, theta[col], len(places)), -30, 30)))
-            slope = np.where(known, 1 - g, -share * g * (1 - g) / (1 - share * g))
-            step = np.bincount(col, slope[row], len(names)) - pull * theta
+            step = slopes(theta) - pull * theta
             # Adam
             first, second = 0.9 * first + 0.1 * step, 0.99 * second + 0.01 * step * step
-            theta += 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
+            theta = theta + 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
         self.weights = {n: float(w) for n, w in zip(names, theta) if abs(w) > 0.01}
         return self
 
-    def count_lengths(self, text: str | None) -> dict[bool, np.ndarray]:
-        """Sentences by bucket of length, for both kinds of scripts, as the
-        weights alone divide a text."""
-        counts = {cjk: np.zeros(LONGEST + 1, np.int64) for cjk in (False, True)}
-        for flat, lo, hi in _plain_blocks(text):
-            cjk, at = bool(_inner.search(flat, lo, hi)), lo
-            for c in _cuts(flat, lo, hi):
-                if c.end == hi or not c.inside and not c.quotes % 2 and self.odds(c) > 0:
-                    counts[cjk][min(LONGEST, _bucket(c.end - at))] += 1
-                    at = c.start
-        return counts
-
     def fit_lengths(self, counts: dict[bool, np.ndarray]) -> Model:
         """How rare a length is beside the commonest."""
         widths = np.array([max(1.0, 2.0 ** (b // 2 - 2)) for b in range(LONGEST + 1)])
@@ -476,20 +479,25 @@ def _divide(text: str, lo: int, hi: int, model: Model = RULES) -> Iterator[tuple
     length, so only the best of them is kept, and time is linear.
     """
     cuts = _cuts(text, lo, hi)
-    if len(cuts) == 1:
-        yield lo, hi
+    odds = [model.odds(c) for c in cuts[:-1]]
+    yield from _best(lo, [c.end for c in cuts], [c.start for c in cuts], [c.inside for c in cuts], [c.quotes for c in cuts], odds, model.lengths[bool(_inner.search(text, lo, hi))])
+
+
+def _best(lo: int, cut_ends: list[int], cut_starts: list[int], inside: list[int], cut_quotes: list[int], odds: list[float], lengths: list[float]) -> Iterator[tuple[int, int]]:
+    """The program of _divide, over the values of a block's cuts; the last cut is the block's end."""
+    if len(cut_ends) == 1:
+        yield lo, cut_ends[0]
         return
-    starts = [lo, *[c.start for c in cuts[:-1]]]
-    quotes = [0, *[c.quotes for c in cuts[:-1]]]
-    lengths = model.lengths[bool(_inner.search(text, lo, hi))]
+    starts = [lo, *cut_starts[:-1]]
+    quotes = [0, *cut_quotes[:-1]]
     none = float("-inf")
     best: tuple[list[float], list[float]] = ([0.0], [none])
     back: list[tuple] = []
-    states = (0, 1) if cuts[-1].quotes else (0,)
+    states = (0, 1) if cut_quotes[-1] else (0,)
     near = 0
     far = [(none, 0), (none, 0)]
-    for j, cut in enumerate(cuts):
-        while near <= j and cut.end - starts[near] >= FAR:
+    for j, end in enumerate(cut_ends):
+        while near <= j and end - starts[near] >= FAR:
             for s in states:
                 # the state as if no mark had stood before, to be compared later
                 t = s ^ (quotes[near] & 1)
@@ -497,21 +505,21 @@ def _divide(text: str, lo: int, hi: int, model: Model = RULES) -> Iterator[tuple
                     far[t] = (best[s][near], near)
             near += 1
         value, choice = [none, none], [(0, 0), (0, 0)]
-        odd = cut.quotes & 1
+        odd = cut_quotes[j] & 1
         for s in states:
             t = s ^ odd
             if far[s][0] + lengths[LONGEST] > value[t]:
                 value[t], choice[t] = far[s][0] + lengths[LONGEST], (far[s][1], s ^ (quotes[far[s][1]] & 1))
         for i in range(near, j + 1):
-            n = cut.end - starts[i]
+            n = end - starts[i]
             k = n.bit_length()
             length = lengths[min(LONGEST, 2 * k + ((n >> (k - 2)) & 1 if k > 1 else 0))]
             flip = (quotes[i] & 1) ^ odd
             for s in states:
                 if (v := best[s][i] + length) > value[s ^ flip]:
                     value[s ^ flip], choice[s ^ flip] = v, (i, s)
-        last = j == len(cuts) - 1
-        here = 0.0 if last else model.odds(cut) - INSIDE * cut.inside
+        last = j == len(cut_ends) - 1
+        here = 0.0 if last else odds[j] - INSIDE * inside[j]
         ends = [value[0] + here, value[1] + here - (STRAY if last else INSIDE)]
         if value[1] - STRAY > value[0]:
             # a mark of the span is a stray one
@@ -519,11 +527,11 @@ def _divide(text: str, lo: int, hi: int, model: Model = RULES) -> Iterator[tuple
         best[0].append(ends[0])
         best[1].append(ends[1])
         back.append(tuple(choice))
-    j, s = len(cuts) - 1, int(best[1][-1] > best[0][-1])
+    j, s = len(cut_ends) - 1, int(best[1][-1] > best[0][-1])
     spans = []
     while j >= 0:
         i, s = back[j][s]
-        spans.append((starts[i], cuts[j].end))
+        spans.append((starts[i], cut_ends[j]))
         j = i - 1
     yield from reversed(spans)
 
@@ -546,47 +554,68 @@ def _trimmed(flat: str) -> Iterator[tuple[int, int, bool]]:
             yield lo, hi, whole
 
 
-def _plain_blocks(text: str | None) -> Iterator[tuple[str, int, int]]:
-    if text and not text.isspace():
-        flat = _flat(text)
-        for lo, hi, whole in _trimmed(flat):
-            if not whole:
-                yield flat, lo, hi
-
-
-def places(text: str | None) -> tuple[list[tuple[bool, float, tuple[str, ...], str]], Counter, Counter]:
-    """What a text teaches: known, log-odds of the spelling, features and
-    opening word of every place where a sentence may end; and the words at
-    sure starts and inside sentences.
+def _read(text: str | None, starts: Counter, inside: Counter) -> tuple[list[tuple[int, int, list[_Cut] | None]], list[tuple[bool, _Cut]]]:
+    """A text's blocks with their cuts, None for whole ones, and what it
+    teaches: (known, place) of every place where a sentence may end. Words at
+    sure starts and inside sentences are added to the counters.
 
     The ends of blocks are known to be ends, and are looked at as if the next
     block followed on. In scripts that write openings large, only words that
     are written so count inside.
     """
-    found, starts, inside = [], Counter(), Counter()
-    blocks = list(_plain_blocks(text))
-    for (flat, lo, hi), after in zip(blocks, [*blocks[1:], None]):
-        opening = flat[after[1] : after[1] + 80] if after else ""
-        own = flat[lo:hi]
-        joined = own + (" " if not _inner.search(own[-4:]) else "") + opening
+    if not text or text.isspace():
+        return [], []
+    flat = _flat(text)
+    out, found, following = [], [], ""
+    for lo, hi, whole in reversed(list(_trimmed(flat))):
+        if whole:
+            out.append((lo, hi, None))
+            continue
+        own, n, opening = flat[lo:hi], hi - lo, following
+        following = flat[lo : lo + 80]
+        if opening:
+            spaced = not _inner.search(own[-4:])
+            joined = own + " " * spaced + opening
+            seen, base = _cuts(joined, 0, len(joined)), 0
+            # whether what follows can change how the block is read
+            apart = spaced and not _paired.search(opening) and own[0] != "|" and opening[0] not in "!?।॥" and (own[-1].isalnum() or own[-1] in ".!?…。।॥۔؟")
+            cuts = _alone(seen, lo, hi) if apart else _cuts(flat, lo, hi)
+        else:
+            seen = cuts = _cuts(flat, lo, hi)
+            base = lo
+        out.append((lo, hi, cuts))
         begins = {0}
-        for c in _cuts(joined, 0, len(joined)):
-            if c.features and c.end <= hi - lo and not c.inside and not c.quotes % 2:
-                known = c.end == hi - lo
+        for c in seen:
+            if c.features and c.end - base <= n and not c.inside and not c.quotes % 2:
+                known = c.end - base == n
                 if not known or opening:
-                    found.append((known, c.rule, c.features, c.opening))
-                begins.add(c.start if c.rule >= STRONG else -c.start)
+                    found.append((known, c))
+                if c.rule >= STRONG:
+                    begins.add(c.start - base)
         if _inner.search(own):
             continue
+        sure = begins | {b + k for b in begins for k in (1, 2) if not own[b : b + k].isalnum()}
         for m in _written.finditer(own):
-            gap = own[max(0, m.start() - 3) : m.start()]
-            sure = m.start() in begins or any(m.start() - k in begins and not own[m.start() - k : m.start()].isalnum() for k in (1, 2))
-            w = m.group()
-            if sure:
-                starts[w] += 1
-            elif not _stops.search(gap) and (w[:1].isupper() or not w[:1].islower()):
-                inside[w] += 1
-    return found, starts, inside
+            at = m.start()
+            if at in sure:
+                starts[m.group()] += 1
+            elif not own[at].islower() and not _stops.search(own[max(0, at - 3) : at]):
+                inside[m.group()] += 1
+    return out[::-1], found
+
+
+def _alone(seen: list[_Cut], lo: int, hi: int) -> list[_Cut]:
+    """The cuts of a block from those of its text with more after it that
+    changes none of them."""
+    cuts = []
+    for c in seen:
+        if c.end < hi - lo:
+            one = _Cut(c.end + lo, c.start + lo, c.rule, c.features, c.opening)
+            one.inside, one.quotes = c.inside, c.quotes
+            cuts.append(one)
+    last = _Cut(hi, hi, 0.0)
+    last.quotes = seen[-1].quotes if cuts else 0
+    return [*cuts, last]
 
 
 def sentences(text: str | None, model: Model = RULES) -> list[tuple[int, int]]:
@@ -606,53 +635,229 @@ def sentences(text: str | None, model: Model = RULES) -> list[tuple[int, int]]:
     return out
 
 
-def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model fitted on at most ``sample`` documents of each language.
+def _packed(value) -> bytes:
+    return zlib.compress(pickle.dumps(value, pickle.HIGHEST_PROTOCOL), 1)
+
+
+def _unpacked(value: pa.Scalar):
+    return pickle.loads(zlib.decompress(value.as_py()))
 
-    The sample is kept in the shared folder, and its places and lengths are
-    found on the executors; the driver gets features of the places, whose
-    number does not grow with the corpus. Features seen less than three times
-    are left out. No documents give the rules.
-    """
-    chosen = kept(sampling.by_group(documents.where(F.coalesce(F.octet_length(text), F.lit(0)) > 0), language(lang), key, sample, [text]).select("group", "rank", F.col(text).alias("t")))
+
+def _part(keys: pa.Array, groups: list[str], texts: list[str | None]) -> list[bytes]:
+    """Texts read once: their kinds of places (log-odds of the spelling,
+    features, opening word), what they teach, and their blocks and cuts as
+    numbers."""
+    kinds: dict[tuple, int] = {}
+    taught, starts, inside = Counter(), Counter(), Counter()
+    rows, blocks, cuts = [], [], []
+    for k, (group, text) in enumerate(zip(groups, texts)):
+        read, found = _read(text, starts, inside)
+        for known, c in found:
+            taught[group, known, kinds.setdefault((c.rule, c.features, c.opening), len(kinds))] += 1
+        for lo, hi, own in read:
+            rows.append(k)
+            blocks.append((lo, hi, 0 if own is None else len(own), own is not None and bool(_inner.search(text, lo, hi))))
+            if own is not None:
+                cuts.extend((c.end, c.start, c.inside, c.quotes, kinds.setdefault((c.rule, c.features, c.opening), len(kinds))) for c in own)
+    numbers = (keys, np.array(rows, np.int32), np.array(blocks, np.int32).reshape(-1, 4), np.array(cuts, np.int32).reshape(-1, 5))
+    return [_packed(x) for x in (list(kinds), (taught, starts, inside), numbers)]
+
+
+def _parts(documents: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """(kinds, taught, cuts): all texts, read once and kept in the shared folder."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, starts, inside = [], Counter(), Counter()
-            for g, r, t in zip(*(c.to_pylist() for c in batch.columns)):
-                f, a, b = places(t)
-                found.extend((g, r, *p) for p in f)
-                starts.update(a)
-                inside.update(b)
-            kinds = (pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.list_(pa.string()), pa.string())
-            columns = [pa.array([[p[k] for p in found]], pa.list_(kind)) for k, kind in enumerate(kinds)]
-            words = sorted(starts.keys() | inside.keys())
-            columns += [pa.array([words], pa.list_(pa.string())), *(pa.array([[c[w] for w in words]], pa.list_(pa.int32())) for c in (starts, inside))]
-            yield pa.RecordBatch.from_arrays(columns, names=["g", "r", "known", "rule", "features", "opening", "words", "starts", "inside"])
-
-    schema = "g array<string>, r array<int>, known array<boolean>, rule array<double>, features array<array<string>>, opening array<string>, words array<string>, starts array<int>, inside array<int>"
-    rows = chosen.mapInArrow(work, schema).toArrow().to_pylist()
-    starts, inside = Counter(), Counter()
-    for r in rows:
-        for w, a, b in zip(r["words"], r["starts"], r["inside"]):
-            starts[w] += a
-            inside[w] += b
+            groups, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            first = chars = 0
+            for k, t in enumerate(texts):
+                chars += len(t or "")
+                if chars >= PART_CHARS or k == len(texts) - 1:
+                    part = _part(batch.column(0).slice(first, k + 1 - first), groups[first : k + 1], texts[first : k + 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in part], names=["kinds", "taught", "cuts"])
+                    first, chars = k + 1, 0
+
+    return kept(documents.select(F.col(key), language(lang).alias("_g"), F.col(text).alias("_t")).mapInArrow(work, "kinds binary, taught binary, cuts binary"))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, feature, n, m) of each part: how often a feature occurs; or a
+    word at sure starts, and inside sentences."""
+    for batch in batches:
+        for kinds, taught in zip(*batch.columns):
+            kinds, (places, starts, inside) = _unpacked(kinds), _unpacked(taught)
+            seen: Counter = Counter()
+            for (_, _, k), n in places.items():
+                for f in kinds[k][1]:
+                    seen[f] += n
+            words = starts.keys() | inside.keys()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*seen, *words], pa.string()), pa.array([True] * len(seen) + [False] * len(words)), pa.array([*seen.values(), *(starts[w] for w in words)], pa.int64()), pa.array([0] * len(seen) + [inside[w] for w in words], pa.int64())],
+                names=["name", "feature", "n", "m"],
+            )
+
+
+def _slopes(columns: tuple[np.ndarray, ...], theta: np.ndarray) -> np.ndarray:
+    """The sums of the places' slopes for each feature: multiples of GRAIN."""
+    known, rule, n, share, row, col = columns
+    g = 1 / (1 + np.exp(-np.clip(rule + np.bincount(row, theta[col], len(rule)), -30, 30)))
+    slope = np.where(known, 1 - g, -share * g * (1 - g) / (1 - share * g))
+    return np.bincount(col, np.rint(slope * n / GRAIN)[row], len(theta)) * GRAIN
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    known, rule, opened, n, share = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("known", "rule", "opened", "n", "share"))
+    features = batch.column("features")
+    sizes = np.diff(features.offsets.to_numpy())
+    return known, rule + opened, n, share, np.repeat(np.arange(len(sizes)), sizes), features.flatten().to_numpy(zero_copy_only=False)
+
+
+def _fit(parts: DataFrame, rounds: int = 200) -> Model:
+    spark = parts.sparkSession
+    counted = parts.select("kinds", "taught").mapInArrow(_words, "name string, feature boolean, n long, m long").groupBy("name", "feature").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    rows = counted.where("not feature or n >= 3").toArrow().to_pydict()
+    starts, inside, names = Counter(), Counter(), []
+    for name, feature, n, m in zip(*(rows[c] for c in ("name", "feature", "n", "m"))):
+        if feature:
+            names.append(name)
+        else:
+            starts[name], inside[name] = n, m
+    names.sort()
     model = Model().fit_openings(+starts, +inside)
-    found = sorted(p for r in rows for p in zip(r["g"], r["r"], r["known"], r["rule"], r["features"], r["opening"]))
-    seen = Counter(f for p in found for f in p[4])
-    names = sorted(f for f, n in seen.items() if n >= 3)
-    number = {f: i for i, f in enumerate(names)}
-    model.fit([(k, x, model.openings.get(o, 0.0), tuple(number[f] for f in fs if f in number), g) for g, _, k, x, fs, o in found], names)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    told = spark.sparkContext.broadcast(({f: i for i, f in enumerate(names)}, model.openings))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, openings = told.value
+        for batch in batches:
+            for kinds, taught in zip(*batch.columns):
+                kinds, (found, _, _) = _unpacked(kinds), _unpacked(taught)
+                sums: Counter = Counter()
+                for (group, known, k), n in found.items():
+                    rule, features, opening = kinds[k]
+                    sums[group, known, rule, openings.get(opening, 0.0), tuple(number[f] for f in features if f in number)] += n
+                types = (pa.string(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in sums], kind) for k, kind in enumerate(types)), pa.array(list(sums.values()), pa.int64())], names=["g", "known", "rule", "opened", "features", "n"])
+
+    schema = "g string, known boolean, rule double, opened double, features array<int>, n long"
+    found = kept(parts.select("kinds", "taught").mapInArrow(places, schema).groupBy("g", "known", "rule", "opened", "features").agg(F.sum("n").alias("n")))
+    # the share is one of the language, as its blocks' lengths are
+    sure = F.col("rule") >= STOP
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    groups = found.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), total(F.lit(True)).alias("all"), total(F.col("known")).alias("known"), total(sure).alias("sure"), total(sure & F.col("known")).alias("both")).collect()
+    sums = {c: sum(r[c] for r in groups) for c in ("kinds", "all", "known", "sure", "both")}
+    if sums["known"]:
+        mean = sums["both"] / sums["sure"] if sums["sure"] else sums["known"] / sums["all"]
+        shares = {r["g"]: min(0.95, max(0.02, (r["both"] + 20 * mean) / (r["sure"] + 20))) for r in groups}
+        told_share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+        model.fit(names, _summed(found.withColumn("share", told_share[F.col("g")]).drop("g"), sums["kinds"]), rounds)
+    shared = spark.sparkContext.broadcast(model)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [shared.value.count_lengths(t) for t in batch.column(0).to_pylist()]
-            sums = [sum((e[cjk] for e in each), np.zeros(LONGEST + 1, np.int64)).tolist() for cjk in (False, True)]
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.list_(pa.int64())) for n in sums], names=["spaced", "inner"])
+            for kinds, cuts in zip(*batch.columns):
+                each = _lengths(_unpacked(kinds), _unpacked(cuts), shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([n.tolist()], pa.list_(pa.int64())) for n in each], names=["spaced", "inner"])
+
+    bucket = parts.select("kinds", "cuts").mapInArrow(lengths, "spaced array<long>, inner array<long>").select(F.posexplode(F.arrays_zip("spaced", "inner")).alias("b", "n"))
+    counts = {cjk: np.zeros(LONGEST + 1, np.int64) for cjk in (False, True)}
+    for r in bucket.groupBy("b").agg(F.sum("n.spaced").alias("spaced"), F.sum("n.inner").alias("inner")).collect():
+        counts[False][r["b"]], counts[True][r["b"]] = r["spaced"], r["inner"]
+    return model.fit_lengths(counts)
+
+
+def _summed(found: DataFrame, kinds: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The sums of slopes as a function of the weights: on the driver up to
+    LOCAL_PLACES kinds of places, else a job."""
+    if kinds <= LOCAL_PLACES:
+        own = _columns(found.toArrow().combine_chunks().to_batches()[0])
+        return lambda theta: _slopes(own, theta)
+
+    def jobs(theta: np.ndarray) -> np.ndarray:
+        shared = found.sparkSession.sparkContext.broadcast(theta)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(len(shared.value))
+            for batch in batches:
+                out += _slopes(_columns(batch), shared.value)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at], pa.float64())], names=["f", "slope"])
+
+        rows = found.mapInArrow(work, "f int, slope double").groupBy("f").agg(F.sum("slope").alias("slope")).toArrow()
+        shared.destroy()
+        out = np.zeros(len(theta))
+        out[rows["f"].to_numpy()] = rows["slope"].to_numpy()
+        return out
+
+    return jobs
+
+
+def _odds(kinds: list[tuple[float, tuple[str, ...], str]], model: Model) -> np.ndarray:
+    return np.array([model.odds(_Cut(0, 0, *kind)) for kind in kinds], float)
+
+
+def _lengths(kinds: list[tuple], numbers: tuple, model: Model) -> list[np.ndarray]:
+    """Sentences by bucket of length, of scripts with spaces and without, as
+    the weights alone divide a part's texts."""
+    _, _, blocks, cuts = numbers
+    blocks = blocks[blocks[:, 2] > 0]
+    if not len(blocks):
+        return [np.zeros(LONGEST + 1, np.int64)] * 2
+    sizes = blocks[:, 2]
+    last = np.zeros(len(cuts), bool)
+    last[np.cumsum(sizes) - 1] = True
+    ends, starts, inside, quotes, kind = cuts.T
+    ending = last | (inside == 0) & (quotes % 2 == 0) & (_odds(kinds, model)[kind] > 0)
+    block = np.repeat(np.arange(len(blocks)), sizes)[ending]
+    begin = np.roll(starts[ending], 1)
+    fresh = np.append(True, block[1:] != block[:-1])
+    begin[fresh] = blocks[block[fresh], 0]
+    chars = ends[ending] - begin
+    # half octaves, as in _bucket
+    bits = np.frexp(chars)[1]
+    bucket = np.minimum(LONGEST, 2 * bits + np.where(bits > 1, chars >> np.maximum(bits - 2, 0) & 1, 0))
+    inner = blocks[block, 3] == 1
+    return [np.bincount(bucket[inner == cjk], minlength=LONGEST + 1) for cjk in (False, True)]
+
+
+def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """A model fitted on all documents.
+
+    Texts are read once on the executors; equal kinds of places are counted
+    there. The driver gets the words and features with their counts, the kinds
+    of places only while they are few. Features seen less than three times are
+    left out. No documents give the rules.
+    """
+    return _fit(_parts(documents, key, text, lang))
+
+
+def fit_split(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """What split gives with the model that fit finds in the same documents;
+    their texts are read once for both."""
+    parts = _parts(documents, key, text, lang)
+    shared = documents.sparkSession.sparkContext.broadcast(_fit(parts))
 
-    counts = chosen.select("t").mapInArrow(lengths, "spaced array<long>, inner array<long>").collect()
-    return model.fit_lengths({cjk: sum((np.array(r[name]) for r in counts), np.zeros(LONGEST + 1, np.int64)) for cjk, name in ((False, "spaced"), (True, "inner"))})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            for kinds, cuts in zip(*batch.columns):
+                odds = _odds(_unpacked(kinds), model)
+                keys, of, blocks, cuts = _unpacked(cuts)
+                ends, starts, inside, quotes, kind = (c.tolist() for c in cuts.T)
+                odds = odds[cuts[:, 4]].tolist()
+                rows, found, at = [], [], 0
+                for k, (lo, hi, n, inner) in zip(of.tolist(), blocks.tolist()):
+                    if n < 2:
+                        spans = [(lo, hi)]
+                    else:
+                        own = slice(at, at + n)
+                        spans = list(_best(lo, ends[own], starts[own], inside[own], quotes[own], odds[own], model.lengths[bool(inner)]))
+                    at += n
+                    rows.extend([k] * len(spans))
+                    found.extend(spans)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), *(pa.array([s[k] for s in found], pa.int32()) for k in (0, 1))], names=["k", "start_pos", "end_pos"])
+
+    kind = documents.select(key).schema[0].dataType.simpleString()
+    return parts.select("kinds", "cuts").mapInArrow(work, f"k {kind}, start_pos int, end_pos int").select(F.col("k").alias(key), "start_pos", "end_pos")
 
 
 def split(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:

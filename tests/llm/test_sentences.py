@@ -143,3 +143,46 @@ def test_nothing_to_learn_from(spark):
     model = S.fit(empty)
     assert model.weights == {} and S.split(empty, model=model).count() == 0
     assert [s for part in SPACED for s in S.sentences(" ".join(part), model)] == [s for part in SPACED for s in S.sentences(" ".join(part))]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """3,000 documents, of which every 700th has "Zyx.", which nothing ends."""
+    rows = [(k, f"The mill of {'Zyx. ' if k % 700 == 0 else ''}Pelasset closed. It rained on the count.\n\nNo one asked about gate {k % 7}. It held.", "en") for k in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+
+def test_all_documents_are_learnt_from(many):
+    model = S.fit(many)
+    assert model.weights["w.zyx"] < -0.1
+    assert model.openings["Pelasset"] < 0 < model.openings["The"]
+    # a sample would leave it as it is
+    twice = S.fit(many.union(many).repartition(5))
+    assert abs(twice.weights["w.zyx"]) > abs(model.weights["w.zyx"])
+
+
+def test_the_model_is_the_same_however_documents_lie(many, monkeypatch):
+    parts = S._parts(many, "doc_id", "text", "lang")
+    here = S._fit(parts, rounds=3)
+    monkeypatch.setattr(S, "PART_CHARS", 1000)
+    assert S._fit(S._parts(many.repartition(2), "doc_id", "text", "lang"), rounds=3).weights == here.weights
+    monkeypatch.setattr(S, "LOCAL_PLACES", 0)
+    spread = S._fit(parts, rounds=3)
+    assert here.weights and (spread.weights, spread.openings, spread.lengths) == (here.weights, here.openings, here.lengths)
+
+
+def test_fitting_and_dividing_read_once_give_what_both_give(spark, many):
+    texts = [" ".join(p) for p in SPACED] + ["".join(p) for p in CLOSE] + ["\n\n".join(p) for p in SPACED] + ["# A title\n- the gate. Open\n- a valve\n\nIt fell.\n\n| b. |", "", " ", None]
+    odd = spark.createDataFrame([(None if k == 3 else 5000 + k, t, "en" if k % 2 else None) for k, t in enumerate(texts * 2)], "doc_id long, text string, lang string")
+    documents = many.where("doc_id < 200").union(odd)
+    got = sorted(map(str, S.fit_split(documents).collect()))
+    assert got == sorted(map(str, S.split(documents, model=S.fit(documents)).collect())) and len(got) > 600
+    assert S.fit_split(documents.limit(0)).count() == 0
+
+
+def test_quotations_at_the_start_are_ends_however_many_are_read(spark):
+    # a block that begins with one goes on, so none of them is known to be an end
+    word = [chr(0x5000 + k) * 2 for k in range(300)]
+    rows = [(k, f"「旧海关{word[k % 300]}。」水位计停了。\n\n观测站等待。「门{word[k % 299]}。」\n\n他看。「门{word[k % 298]}。」\n\n雨后重建。", "zh") for k in range(3000)]
+    model = S.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [rows[4][1][a:b] for a, b in S.sentences(rows[4][1], model)][:2] == [f"「旧海关{word[4]}。」", "水位计停了。"]
