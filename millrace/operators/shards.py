@@ -16,26 +16,44 @@ TIERS = ("A", "B", "C")
 LANES = ("general_web", "code", "math_science", "indic", "agentic", "reasoning")
 ROLES = ("user", "think", "tool_call", "tool_result", "answer")
 GRADED = ("text", "think", "tool_call", "answer")
+MARKER = f"@(?:{'|'.join(ROLES)}):"
 
 
 def role_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, span_no, role, graded, text): a text with role markers at line
     starts is divided there, lines before the first are left out, as are empty
     spans; any other is one span. Null texts have none."""
-    marker = f"@(?:{'|'.join(ROLES)}):"
-    cut = F.split(F.col("text"), f"(?md)(?=^{marker})")
+    cut = F.split(F.col("text"), f"(?md)(?=^{MARKER})")
     piece = F.posexplode(cut)
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text", piece.alias("at", "piece"))
     role = F.regexp_extract("piece", f"^@({'|'.join(ROLES)}):", 1)
-    marked = F.regexp_count(F.col("text"), F.lit(f"(?md)^{marker}")) > 0
+    marked = F.regexp_count(F.col("text"), F.lit(f"(?md)^{MARKER}")) > 0
     inline = text.SPACE.replace(r"\t-\r", r"\t\x0b-\r")
-    body = F.when(role == "", F.col("piece")).otherwise(F.regexp_replace(F.regexp_replace("piece", f"^{marker}", ""), rf"^([^\n]*?){inline}+\n", "$1\n"))
+    body = F.when(role == "", F.col("piece")).otherwise(F.regexp_replace(F.regexp_replace("piece", f"^{MARKER}", ""), rf"^([^\n]*?){inline}+\n", "$1\n"))
     spans = rows.where((role != "") | ~marked).select("doc_id", "at", F.when(role == "", "text").otherwise(role).alias("role"), text.strip(body).alias("text"))
     kept = spans.where((F.col("text") != "") | (F.col("role") == "text"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
     return kept.select("doc_id", number.alias("span_no"), "role", F.col("role").isin(*GRADED).alias("graded"), "text")
 
 
+def role_words(documents: DataFrame) -> DataFrame:
+    """(lane, word, all, n): how often each word stands in a lane's texts, and
+    how often in their graded spans, as role_spans has them. Texts are cut at
+    their markers and every word is found once: no cut falls within a word, and
+    of a piece with a marker the first word is its role, which is in no span.
+    Documents without an id have no spans. Words are counted where they are
+    found; no text and no single word is shuffled."""
+    cut = F.array(F.split("text", f"(?md)(?=^{MARKER})"))
+    each = F.transform(cut, lambda c: F.transform(c, lambda p: F.struct(p.alias("piece"), (F.size(c) == 1).alias("one"))))
+    pieces = documents.select("doc_id", "lane", F.inline(F.flatten(each)))
+    # by piece: beside an explode it would be worked out for every word
+    role = F.regexp_extract("piece", f"^@({'|'.join(ROLES)}):", 1)
+    graded = F.when(role == "", F.col("one")).otherwise(role.isin(*GRADED)) & F.col("doc_id").isNotNull()
+    by_piece = pieces.select("lane", graded.alias("graded"), (role != "").cast("int").alias("from"), "piece")
+    found = by_piece.select("lane", "graded", "from", F.posexplode(text.words("piece")).alias("at", "word"))
+    return found.groupBy("lane", "word").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("graded") & (F.col("at") >= F.col("from"))).alias("n"))
+
+
 def build_shards(documents: DataFrame, size: int = DOCS_PER_SHARD) -> DataFrame:
     """(shard_id, source, part, doc_id, token_start, token_end): documents of a
     source in order of their id, ``size`` to a shard.

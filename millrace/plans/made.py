@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
@@ -93,19 +94,16 @@ def block_hashes(spark, folder, width: int = 4096):
     return d.select("doc_id", one.alias("h")).select("doc_id", F.size("h").cast("long").alias("blocks"), F.sha2(F.array_join("h", ""), 256).alias("root"))
 
 
-def _graded_words(spark, folder):
-    d = table(spark, folder, "documents")
-    spans = shards.role_spans(d).where("graded").select("doc_id", F.explode(text.words()).alias("word"))
-    return spans.join(d.select("doc_id", "lane"), "doc_id").groupBy("lane", "word").agg(F.count(F.lit(1)).alias("n"))
-
-
 def masked_loss(spark, folder):
     """Mean next-word loss of each lane under the corpus's word frequencies,
     over graded words only. Every word has a token before it."""
-    counts = table(spark, folder, "documents").select(F.explode(text.words()).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("all"))
-    total = counts.agg(F.sum("all").alias("t")).first()["t"] or 0
-    rows = _graded_words(spark, folder).join(counts, "word")
-    return rows.groupBy("lane").agg(F.sum("n").alias("targets"), F.round(F.sum(-F.log(F.col("all") / F.lit(total)) * F.col("n")) / F.sum("n"), 6).alias("loss"))
+    words = shards.role_words(table(spark, folder, "documents"))
+    known = words.withColumn("known", F.sum("all").over(Window.partitionBy("word")))
+    lanes = known.groupBy("lane").agg(F.sum("n").alias("targets"), F.sum("all").alias("words"), F.sum(F.col("n") * F.log("known")).alias("logs"))
+    # one row for each lane
+    total = F.sum("words").over(Window.partitionBy())
+    rows = lanes.withColumn("total", total).where("targets > 0")
+    return rows.select("lane", "targets", F.round(F.log("total") - F.col("logs") / F.col("targets"), 6).alias("loss"))
 
 
 def prior_check(spark, folder, tolerance: float = 0.6):

@@ -1,8 +1,13 @@
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import mixture, planning
-from millrace.operators.shards import role_spans
+from millrace.operators.shards import role_spans, role_words
+from millrace.plans import made
 
 SHARES = {"general_web": 0.42, "code": 0.16, "math_science": 0.14, "indic": 0.12, "reasoning": 0.1, "agentic": 0.06}
 
@@ -80,6 +85,56 @@ def test_role_spans(spark):
     assert got == [(1, 0, "user", False, "hi\nthere"), (1, 1, "answer", True, "yes"), (2, 0, "text", True, "plain\n\n\ntext"), (4, 0, "text", True, ""), (5, 0, "text", True, "not @user: a marker")]
 
 
+ODD = [
+    (1, "a", "lead\n@user:  hi  \nthere\n@answer: yes hi\n@think:\n@tool_call:x_1@think: y\n@tool_result: z"), (2, "a", " Plain\n\n\nİx text "), (3, "a", None), (4, "b", ""), (5, "b", "not @user: a marker"),
+    (6, "c", "@user: only asked"), (7, None, "@answer:think think"), (8, "b", "\n@think: a\r\n@answer: a\n @user: a"), (None, "a", "@answer: hi"), (9, "d", "@answer:@answer: a\n\n"), (10, "d", "lead only\n"),
+]
+
+
+def test_role_words_are_those_of_the_spans(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, lane string, text string")
+    want = {}
+    for words, at in ((docs.select("lane", F.explode(text.words()).alias("w")), 0), (role_spans(docs).where("graded").select("doc_id", F.explode(text.words()).alias("w")).join(docs, "doc_id").select("lane", "w"), 1)):
+        for r in words.collect():
+            want.setdefault((r["lane"], r["w"]), [0, 0])[at] += 1
+    got = [(r["lane"], r["word"], r["all"], r["n"]) for r in role_words(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(*k, *v) for k, v in want.items()], key=repr)
+    assert ("a", "hi", 3, 1) in got and (None, "think", 2, 2) in got and ("c", "asked", 1, 0) in got and ("a", "ix", 1, 1) in got
+
+
+def shuffled(spark, run):
+    """What run gives, and the rows written to shuffles meanwhile."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    out = run()
+    return out, sum(n for k, n in written().items() if k not in before)
+
+
+def test_masked_loss_shuffles_counts_not_words(spark, tmp_path):
+    body = [f"@user: w1 w2\n@answer: {' '.join(f'w{(i * j) % 50}' for j in range(1000))}" for i in range(1, 61)]
+    rows = [(i, f"lane{i % 3}", t) for i, t in enumerate(body)] + [(100, "asked", "@user: w1")]
+    spark.createDataFrame(rows, "doc_id long, lane string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        got, n = shuffled(spark, lambda: {r["lane"]: (r["targets"], r["loss"]) for r in made.masked_loss(spark, str(tmp_path)).collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    every = Counter(w for _, _, t in rows for w in re.findall(r"\w+", t))
+    for k in range(3):
+        own = [w for _, lane, t in rows if lane == f"lane{k}" for w in re.findall(r"\w+", t.split("@answer:")[1])]
+        assert got[f"lane{k}"][0] == len(own) == 20_000
+        assert abs(got[f"lane{k}"][1] - sum(-math.log(every[w] / every.total()) for w in own) / len(own)) < 2e-6
+    # a lane without graded words isn't there; 60,000 words stand in the texts
+    assert len(got) == 3 and n < 6_000
+
+
 def test_selection_rules(spark):
     rows = [("b", 1, "code", f"c{i}", s, m, 2) for i, (s, m) in enumerate([(0.9, False), (0.5, True), (0.5, True), (0.1, True), (float("nan"), True)])] + [("b", 1, "code", "c1", 0.4, True, 2)]
     got = {(r["candidate_id"], r["reason"]): r["status"] for r in planning.select(spark.createDataFrame(rows, "branch_id string, step int, lane string, candidate_id string, score double, matches boolean, quota int"), ["branch_id", "step", "lane"], ("indic",)).collect()}
